@@ -7,20 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import substring
+from . import ngram_join, secrets, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of near-duplicate links of every document."""
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, as spans."""
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of repeats of 35 words or more, removed from every document."""
     return substring.remove_repeats(_table(spark, sf_dir, "documents")).drop("removed_spans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_substring_dedup,)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_secret_scans, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,7 +2,7 @@
 
 Winnowing picks, in every run of `length` words, one anchor (a shorter run with the smallest hash), so equal
 runs always share an anchor at the same place. Documents meet on anchors that occur twice or more; each such
-seed is extended both ways over every window of `length` words around it, compared by a 128-bit identity of its
+seed is extended both ways over every window of `length` words around it, compared by a 96-bit identity of its
 word sequence, and the union of the windows found elsewhere too is the union of the maximal repeats over the
 length. Groups are only counted and flagged, never paired: a passage in a third of all documents costs one row
 an occurrence.
@@ -24,9 +24,6 @@ from pyspark.sql import functions as F
 from .common import as_text, chunks, cut, lists, utf8
 from .hashing import hash_words, windows
 
-#: Rows of one anchor or window are dealt over so many tasks.
-SALTS = 8
-
 
 def _anchors(words: np.ndarray, first: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, position) of the winnowed anchors: the last smallest k-gram of every length-word run."""
@@ -93,7 +90,7 @@ def window_rows(length: int, k: int):
                     s = slice(i, i + 100_000)
                     take = pa.array(doc[s] + lo)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(one[s].view(np.int64)), pa.array(two[s].view(np.int64)), ids.take(take), sums.take(take), pa.array((at[s] - first[doc[s]]).astype(np.int32))],
+                        [pa.array(one[s].view(np.int64)), pa.array((two[s] >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.take(take), sums.take(take), pa.array((at[s] - first[doc[s]]).astype(np.int32))],
                         names=["one", "two", "id", "sum", "at"],
                     )
 
@@ -135,12 +132,17 @@ def kept_rows(length: int):
 
 
 def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys occur twice or more. Counted with partial sums, joined back over salted keys."""
-    often = rows.groupBy(*keys).count().filter("count > 1").select(*keys, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("id", "sum", "at"), F.lit(SALTS)).cast("int")).join(often, [*keys, "salt"]).select("id", "sum", "at")
+    """The rows whose keys occur twice or more. Counted with partial sums and joined back.
+
+    The first key is disguised for the join, so that both sides are dealt out anew and the planner can split the
+    partition of a hot key among tasks.
+    """
+    veiled = F.col(keys[0]).bitwiseXOR(F.lit(1).cast("bigint")).alias("veiled")
+    often = rows.groupBy(*keys).count().filter("count > 1").select(veiled, *keys[1:])
+    return rows.select(veiled, *keys[1:], "id", "sum", "at").join(often, ["veiled", *keys[1:]]).select("id", "sum", "at")
 
 
-def remove_repeats(docs: DataFrame, length: int = 35, anchor: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 35, anchor: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and removed_spans (word positions: start, end, start, end...) of each row.
 
     A word goes if a window of `length` words over it has the same word sequence as a window that starts anywhere
@@ -154,7 +156,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, anchor: int = 16, id_col:
     seeds = cut(_repeated(rows, ["anchor"]).groupBy("id", "sum").agg(F.collect_list("at").alias("seeds")))
     text = base.select(F.coalesce(F.col("id").cast("string"), F.lit("\0")).alias("key"), "id", "sum", "text")
     near = text.join(seeds.select(F.coalesce(F.col("id").cast("string"), F.lit("\0")).alias("key"), "sum", "seeds"), ["key", "sum"])
-    win = near.select("id", "sum", "text", "seeds").mapInArrow(window_rows(length, anchor), f"one bigint, two bigint, id {kind}, sum bigint, at int")
+    win = near.select("id", "sum", "text", "seeds").mapInArrow(window_rows(length, anchor), f"one bigint, two int, id {kind}, sum bigint, at int")
     found = _repeated(win, ["one", "two"]).groupBy(F.coalesce(F.col("id").cast("string"), F.lit("\0")).alias("key"), "sum").agg(F.collect_list("at").alias("repeats"))
     out = text.join(found, ["key", "sum"], "left").select("id", "text", "repeats")
     return out.mapInArrow(kept_rows(length), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, removed_spans array<bigint>").withColumnRenamed("doc_id", id_col)
