@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -15,19 +16,26 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the folder of spark.checkpoint.dir and drop the lineage.
-
-    The folder is the cluster's shared one. Only where the setting is absent (a local test session) is a
-    temporary folder used instead.
-    """
-    sc = df.sparkSession.sparkContext
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir: the cluster's shared one. Only where it is unset, a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the shared folder and drop the lineage."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name within the shared one, for tables that jobs write and read again."""
+    return f"{_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+
+
 def as_text(column: str) -> Column:
     """The column as a string that is never null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import ngram_join, secrets, substring
+from . import mixing, ngram_join, packing, quality, secrets, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,19 +19,44 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document."""
+    return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, as spans."""
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts and verdict of every document."""
+    return quality.report(_table(spark, sf_dir, "documents"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell, calibrated probability and decision of every document."""
+    told = mixing.calibrate(_table(spark, sf_dir, "documents"))
+    names = ("source", "lang", "topic", "tokens", "weight", "probability", "kept")
+    return told.select("doc_id", *(told[f"m_{c}"].alias(c) for c in names))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of repeats of 35 words or more, removed from every document."""
     return substring.remove_repeats(_table(spark, sf_dir, "documents")).drop("removed_spans")
 
 
+_QUERIES = (op1_ngram_jaccard_join, op3_sharding, op4_secret_scans, op5_quality_rules, op6_source_mixing, op7_packing, op10_substring_dedup)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_secret_scans, op10_substring_dedup)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_sharding": sharding.oracle()}
