@@ -71,18 +71,20 @@ def word_histogram(words: Column, vocabulary: list[str]) -> Column:
     return F.concat(let(joined, counts), other)
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two count arrays, 0..1; null if either is empty or all zero."""
+def js_distance(p: Column, q: list[float]) -> Column:
+    """Jensen-Shannon distance of an array of counts and a reference, 0..1; null if either is all zero."""
+    whole = float(sum(q))
+    if whole <= 0:
+        return F.lit(None).cast("double")
+    ref = F.array(*(F.lit(x / whole) for x in q))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     half = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
     term = lambda x, y: half(x, (x + y) / 2) + half(y, (x + y) / 2)
-    scaled = lambda a, t: F.transform(a, lambda x: x / t)
-    both = let(total(p), lambda tp: let(total(q), lambda tq: F.when((tp > 0) & (tq > 0), total(F.zip_with(scaled(p, tp), scaled(q, tq), term)) / 2)))
-    return F.sqrt(F.greatest(both, F.lit(0.0)))
+    return let(total(p), lambda t: F.when(t > 0, F.sqrt(F.greatest(total(F.zip_with(p, ref, lambda x, y: term(x / t, y))) / 2, F.lit(0.0)))))
 
 
-def measures(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The input rows and columns, with a struct _facts behind them: counts and both histograms of each text."""
+def measures(common: dict[str, list[str]] = COMMON_WORDS, text_col: str = "text", lang_col: str = "lang") -> Column:
+    """A struct of counts and both histograms of a text."""
     vocabulary = list(dict.fromkeys(w for ws in common.values() for w in ws))
     text = as_text(text_col)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
@@ -99,48 +101,49 @@ def measures(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS, text_
             word_histogram(words, vocabulary).alias("words"),
         )
 
-    return docs.withColumn("_facts", let(words_of(text), lambda w: let(class_histogram(text), lambda c: facts(w, c))))
+    return let(words_of(text), lambda w: let(class_histogram(text), lambda c: facts(w, c)))
 
 
-def references(measured: DataFrame) -> list[tuple[list[float], list[float]]]:
+def references(measured: DataFrame, common: dict[str, list[str]] = COMMON_WORDS) -> list[tuple[list[float], list[float]]]:
     """Summed histograms of all documents of each known language."""
-    part = measured.select("_facts.lang", "_facts.chars", "_facts.words").filter("lang is not null")
-    sizes = part.select(F.size("chars"), F.size("words")).first()
-    if sizes is None:
-        return []
+    part = measured.select("_facts.lang", "_facts.chars", "_facts.words")
+    sizes = len(CLASSES) + 1, len({w for ws in common.values() for w in ws}) + 1
     sums = [[F.sum(F.get(c, F.lit(i))) for i in range(n)] for c, n in zip(("chars", "words"), sizes)]
     rows = part.groupBy("lang").agg(F.array(*sums[0]).alias("c"), F.array(*sums[1]).alias("w")).collect()  # one row a known language
-    return [(r["c"], r["w"]) for r in sorted(rows)]
+    return [(r["c"], r["w"]) for r in sorted((r for r in rows if r["lang"] is not None), key=lambda r: r["lang"])]
 
 
-def judge(
-    measured: DataFrame, refs: list[tuple[list[float], list[float]]], most_class: float = 0.3, most_word: float = 0.45, least_chars: int = 300, least_words: int = 60, min_words: int = 20, most_repeat: int = 30
-) -> DataFrame:
-    """The measured rows, with base_failed, class_distance, word_distance (null below the least length) and kept."""
-    nearest = lambda hist, k: F.array_min(F.array(*(js_distance(hist, F.array(*map(F.lit, r[k]))) for r in refs))) if refs else F.lit(None).cast("double")
-    n, repeated = F.col("_facts.n_words"), F.col("_facts.n_repeat_words")
-    told = measured.withColumn("base_failed", (n < min_words) | (100 * repeated > most_repeat * n))
-    told = told.withColumn("class_distance", F.when(F.aggregate("_facts.chars", F.lit(0.0), lambda x, y: x + y) >= least_chars, nearest(F.col("_facts.chars"), 0)))
-    told = told.withColumn("word_distance", F.when(n >= least_words, nearest(F.col("_facts.words"), 1)))
-    far = F.coalesce(F.col("class_distance") > most_class, F.lit(False)) | F.coalesce(F.col("word_distance") > most_word, F.lit(False))
-    return told.withColumn("kept", ~F.col("base_failed") & ~far)
+def verdict(
+    facts: Column, refs: list[tuple[list[float], list[float]]], most_class: float = 0.3, most_word: float = 0.4, least_chars: int = 300, least_words: int = 60, min_words: int = 20, most_repeat: int = 30
+) -> Column:
+    """A struct of base_failed, class_distance, word_distance (null below the least length) and kept."""
+    nearest = lambda hist, k: F.array_min(F.array(*(js_distance(hist, r[k]) for r in refs))) if refs else F.lit(None).cast("double")
+    n = facts["n_words"]
+    failed = (n < min_words) | (100 * facts["n_repeat_words"] > most_repeat * n)
+    by_class = F.when(F.aggregate(facts["chars"], F.lit(0.0), lambda x, y: x + y) >= least_chars, nearest(facts["chars"], 0))
+    by_word = F.when(n >= least_words, nearest(facts["words"], 1))
+
+    def told(c: Column, w: Column) -> Column:
+        far = F.coalesce(c > most_class, F.lit(False)) | F.coalesce(w > most_word, F.lit(False))
+        return F.struct(failed.alias("base_failed"), c.alias("class_distance"), w.alias("word_distance"), (~failed & ~far).alias("kept"))
+
+    return let(by_class, lambda c: let(by_word, lambda w: told(c, w)))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The facts and verdict of each row, beside its id. Texts are read once: what is kept between are numbers."""
-    slim = docs.select(F.col(id_col), F.col(text_col), F.col(lang_col))
-    measured = cut(measures(slim, text_col=text_col, lang_col=lang_col).select(id_col, "_facts"))
-    told = judge(measured, references(measured))
+    measured = cut(docs.select(F.col(id_col), measures(text_col=text_col, lang_col=lang_col).alias("_facts")))
+    told = measured.withColumn("_told", verdict(F.col("_facts"), references(measured)))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return told.select(id_col, *(F.col(f"_facts.{c}").alias(c) for c in names), "base_failed", "kept", "class_distance", "word_distance")
+    return told.select(id_col, *(F.col(f"_facts.{c}").alias(c) for c in names), *(F.col(f"_told.{c}").alias(c) for c in ("base_failed", "kept", "class_distance", "word_distance")))
 
 
 def passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents that the rules keep, with the columns of the input.
 
-    Texts are read twice, for the references and for the verdicts, so that none is copied or shuffled.
+    Texts are read twice, for the references and for the verdicts, so that none is copied or shuffled. The
+    verdict is one expression: a column in between would be computed once for each use when the filter moves.
     """
-    slim = docs.select(F.col(text_col), F.col(lang_col))
-    refs = references(measures(slim, text_col=text_col, lang_col=lang_col))
-    row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs[text_col].alias("_text"), docs[lang_col].alias("_lang"))
-    return judge(measures(row, text_col="_text", lang_col="_lang"), refs).filter("kept").select("_row.*")
+    facts = measures(text_col=text_col, lang_col=lang_col)
+    refs = references(docs.select(facts.alias("_facts")))
+    return docs.filter(let(facts, lambda f: verdict(f, refs)["kept"]))
