@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import mixing, ngram_join, packing, quality, secrets, sharding, substring
+from . import mixing, ngram_join, packing, quality, secrets, sharding, substring, suffix_tree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,12 +46,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document."""
+    return suffix_tree.score(_table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of repeats of 35 words or more, removed from every document."""
     return substring.remove_repeats(_table(spark, sf_dir, "documents")).drop("removed_spans")
 
 
-_QUERIES = (op1_ngram_jaccard_join, op3_sharding, op4_secret_scans, op5_quality_rules, op6_source_mixing, op7_packing, op10_substring_dedup)
+_QUERIES = (op1_ngram_jaccard_join, op3_sharding, op4_secret_scans, op5_quality_rules, op6_source_mixing, op7_packing, op9_lm_scoring, op10_substring_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
