@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import mixing, ngram_join, packing, quality, secrets, sharding, substring, suffix_tree
+from . import hamming, mixing, ngram_join, packing, quality, secrets, sharding, substring, suffix_tree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest codes of every vector whose id is divisible by 20, among all."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return hamming.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of every document."""
     return suffix_tree.score(_table(spark, sf_dir, "documents"))
@@ -56,7 +62,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents")).drop("removed_spans")
 
 
-_QUERIES = (op1_ngram_jaccard_join, op3_sharding, op4_secret_scans, op5_quality_rules, op6_source_mixing, op7_packing, op9_lm_scoring, op10_substring_dedup)
+_QUERIES = (op1_ngram_jaccard_join, op3_sharding, op4_secret_scans, op5_quality_rules, op6_source_mixing, op7_packing, op8_exact_topk, op9_lm_scoring, op10_substring_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -64,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": sharding.oracle()}
+    return {"op3_sharding": sharding.oracle(), "op8_exact_topk": hamming.ORACLE}
