@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import hamming, mixing, ngram_join, packing, quality, secrets, sharding, substring, suffix_tree
+from . import hamming, html_extract, mixing, ngram_join, packing, quality, secrets, sharding, substring, suffix_tree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot and shard of every document."""
     return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"))
@@ -62,7 +67,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents")).drop("removed_spans")
 
 
-_QUERIES = (op1_ngram_jaccard_join, op3_sharding, op4_secret_scans, op5_quality_rules, op6_source_mixing, op7_packing, op8_exact_topk, op9_lm_scoring, op10_substring_dedup)
+_QUERIES = (op1_ngram_jaccard_join, op2_html_extraction, op3_sharding, op4_secret_scans, op5_quality_rules, op6_source_mixing, op7_packing, op8_exact_topk, op9_lm_scoring, op10_substring_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
