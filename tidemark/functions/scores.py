@@ -27,3 +27,74 @@ def novelty(hours: Column) -> Column:
 def signal_priority(relevance: Column, severity: Column, hours: Column) -> Column:
     fresh = F.greatest(F.lit(0.0), 100 - 4 * hours)
     return _whole(0.50 * relevance + 0.35 * severity + 0.15 * fresh)
+
+
+#: Severity labels and relation names with their scores; the relation tables differ on purpose.
+SEVERITY = {"critical": 100, "high": 75, "medium": 50, "low": 25, "info": 0}
+RELATION_BASE = {"direct": 100, "indirect": 82, "potential": 60}
+RELATION_NAME = {"direct": 100, "indirect": 82, "potential": 58}
+
+
+def _named(c: Column, table: dict[str, int], other: int) -> Column:
+    out = F.lit(other)
+    for name, score in table.items():
+        out = F.when(F.lower(c) == name, score).otherwise(out)
+    return out
+
+
+def severity_value(label: Column) -> Column:
+    return _named(label, SEVERITY, 25)
+
+
+def relation_score(relation: Column, confidence: Column) -> Column:
+    return F.bround(_named(relation, RELATION_BASE, 0) * (0.8 + 0.2 * confidence / 100), 0).cast("int")
+
+
+def relation_name_score(relation: Column) -> Column:
+    return _named(relation, RELATION_NAME, 0)
+
+
+def corroboration(families: Column) -> Column:
+    return F.least(F.lit(100), F.greatest(F.lit(15), 20 * families)).cast("int")
+
+
+def diversity(kinds: Column) -> Column:
+    return F.least(F.lit(100), 34 * kinds).cast("int")
+
+
+def exposure(weight: Column, entities: Column, relation: Column) -> Column:
+    base = F.coalesce(F.nullif(weight, F.lit(0)), F.lit(55))
+    return _whole(base + F.least(F.lit(8), 2 * entities) + F.when(relation >= 95, 5).otherwise(0))
+
+
+def importance(severity: Column, source: Column, corroborated: Column, fresh: Column) -> Column:
+    return _whole(0.50 * severity + 0.18 * source + 0.17 * corroborated + 0.15 * fresh)
+
+
+def priority(relevance: Column, severity: Column, new: Column, momentum: Column, exposed: Column, fresh: Column, resolved: Column) -> Column:
+    """Weighted whole number; a resolved event has .78 of it, rounded again."""
+    whole = _whole(0.30 * relevance + 0.25 * severity + 0.15 * new + 0.15 * momentum + 0.10 * exposed + 0.05 * fresh)
+    return F.when(resolved, _whole(whole * 0.78)).otherwise(whole)
+
+
+def confidence(best: Column, corroborated: Column, diverse: Column) -> Column:
+    return _whole(0.55 * best + 0.30 * corroborated + 0.15 * diverse)
+
+
+def signal_confidence(given: Column, verified: Column, media: Column) -> Column:
+    guess = F.coalesce(F.nullif(given, F.lit(0)), F.when(verified, 65).when(media > 0, 55).otherwise(35))
+    return F.greatest(F.lit(5), F.least(F.lit(95), guess)).cast("int")
+
+
+def momentum(is_new: Column, sources: Column, more_sources: Column, more_events: Column, official: Column, worse: Column, escalates: Column, recent: Column) -> Column:
+    """Of new events by their sources; of known ones by what changed, 12 if nothing did."""
+    flag = lambda c, n: F.when(c, n).otherwise(0)
+    gain = F.least(F.lit(30), 15 * F.greatest(F.lit(0), more_sources)) + F.least(F.lit(22), 5 * F.greatest(F.lit(0), more_events)) + flag(official, 14) + flag(worse, 12) + flag(escalates, 10)
+    known = F.when(gain == 0, 12).otherwise(18 + gain + flag(recent, 8))
+    return _whole(F.when(is_new, 55 + F.least(F.lit(15), 8 * (sources - 1)) + flag(escalates, 10)).otherwise(known))
+
+
+def engagement(counts: Column) -> Column:
+    """min(8, whole part of 3 * log10(total + 1)) of a map of counts."""
+    total = F.aggregate(F.map_values(counts), F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0)))
+    return F.least(F.lit(8), (F.log10(total + 1) * 3).cast("int"))

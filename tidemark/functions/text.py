@@ -42,3 +42,61 @@ def severity(text: Column, patterns: list[tuple[str, int]], least: int = 25) ->
     for pattern, score in reversed(patterns):
         out = F.when(F.lower(text).rlike(pattern), score).otherwise(out)
     return out
+
+
+def normalize_text(text: Column) -> Column:
+    """Lower case; URLs and everything but Latin letters, digits, CJK and a few signs become spaces."""
+    bare = F.regexp_replace(F.lower(text), r"https?://\S+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^a-z0-9一-鿿%$€£¥ ]+", " "), " +", " "))
+
+
+def cjk_tokens(text: Column) -> Column:
+    """Of each run of two or more CJK characters: the run if it has at most four, and its 2- and 3-grams."""
+    grams = lambda run, n: F.when(F.length(run) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - n + 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    whole = lambda run: F.when(F.length(run) <= 4, F.array(run)).otherwise(F.array().cast("array<string>"))
+    runs = F.regexp_extract_all(text, F.lit(r"[一-鿿]{2,}"), F.lit(0))
+    return F.array_distinct(F.flatten(F.transform(runs, lambda run: F.concat(whole(run), grams(run, 2), grams(run, 3)))))
+
+
+def text_tokens(text: Column, stop: list[str] = []) -> Column:
+    """Latin and CJK tokens together."""
+    return F.array_union(latin_tokens(text, stop), cjk_tokens(text))
+
+
+def category(text: Column, rules: list[tuple[str, str]], other: str) -> Column:
+    """The name of the first rule whose pattern occurs."""
+    out = F.lit(other)
+    for name, pattern in reversed(rules):
+        out = F.when(F.lower(text).rlike(pattern), name).otherwise(out)
+    return out
+
+
+def first_of(*columns: Column) -> Column:
+    """The first value that is neither null nor empty."""
+    return F.coalesce(*(F.nullif(c.cast("string"), F.lit("")) for c in columns))
+
+
+def to_int(c: Column) -> Column:
+    """The number left after all but digits, points and minus signs are gone; 0 if there is none."""
+    return F.coalesce(F.regexp_replace(c.cast("string"), r"[^0-9.\-]", "").try_cast("double").try_cast("bigint"), F.lit(0))
+
+
+def iso_time(c: Column) -> Column:
+    """A timestamp from epoch seconds, epoch milliseconds (above 1e12) or ISO text; null for anything else."""
+    number = c.cast("string").try_cast("double")
+    return F.when(number.isNull(), F.try_to_timestamp(c.cast("string"))).when(number > 1e12, F.timestamp_millis(number.cast("bigint"))).otherwise(F.timestamp_seconds(number))
+
+
+def split_keywords(c: Column) -> Column:
+    """Comma-separated words, trimmed, without empty ones and repeats."""
+    return F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != ""))
+
+
+def host(url: Column) -> Column:
+    """Lower-case host without a leading www."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)), r"^www\.", "")
+
+
+def scrub(c: Column, pattern: str) -> Column:
+    """Matches of a secret's pattern blotted out."""
+    return F.regexp_replace(c, pattern, "***")

@@ -38,3 +38,9 @@ def summary(df: DataFrame, *columns: str) -> DataFrame:
     """Counts by each column, as (dimension, value, n), in one pass over grouping sets."""
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in columns)))
     return df.select(pairs.alias("p")).groupBy("p.dimension", "p.value").agg(F.count("*").alias("n"))
+
+
+def top_of_each(df: DataFrame, key: str, most: int, *order: Column) -> DataFrame:
+    """The first `most` rows of each key in the order."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return df.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scores, text
-from ..operators import tables
+from ..functions import rules, scores, text
+from ..operators import similarity, tables
+from ..streaming import feeds
 
 _NOW = "2024-01-20 00:00:00"
 _LEXICON = ["the", "de la", "nicht", "%%%"]
+_CATEGORIES = [("secrets", "(password|secret|token)"), ("german", "nicht|sich"), ("french", "pour|dans")]
 _PATTERNS = [("(password|secret)", 100), ("http", 75), ("[0-9]{3}", 50)]
 
 
@@ -64,7 +66,81 @@ def b4_source_summary(spark, sf_dir):
     return tables.summary(_read(spark, sf_dir, "documents"), "source", "lang")
 
 
-QUERIES = (c1_term_hit, c3_matched_terms, c6_active_window, d8_record_id, e1_severity, h3_novelty, i2_diverse_top, j2_last_wins, j3_merge_by_id, b4_source_summary)
+def d2_normalize_text(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("plain"))
+
+
+def d7_to_int(spark, sf_dir):
+    return _read(spark, sf_dir, "orders").select("o_orderkey", text.to_int(F.col("o_orderpriority")).alias("n"))
+
+
+def d10_latin_tokens(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.size(text.latin_tokens(F.col("text"), ["that", "with"])).alias("n_tokens"))
+
+
+def e2_category(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", text.category(F.col("text"), _CATEGORIES, "other").alias("category"))
+
+
+def e6_relevance(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    told = rules.relevance_decision(F.col("text"), ["that"], ["with"], ["pour", "nicht"], ["para"], ["%%%"], text.severity(F.col("text"), _PATTERNS))
+    return docs.select("doc_id", told.alias("d")).select("doc_id", "d.score", "d.accepted")
+
+
+def e9_source_tier(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", rules.source_tier(F.col("source"), F.lit("news"), [(1, "src0"), (2, "src1")]).alias("tier"))
+
+
+def e11_host(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", text.host(F.col("url")).alias("host"))
+
+
+def f1_anti_join(spark, sf_dir):
+    return _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+def f6_token_pairs(spark, sf_dir):
+    parts = _read(spark, sf_dir, "part").select("p_brand", text.latin_tokens(F.col("p_name")).alias("tokens"), "p_partkey").filter("p_size < 4")
+    one = parts.select(F.col("p_partkey").alias("a"), F.col("p_brand"), F.col("tokens").alias("ta"))
+    two = parts.select(F.col("p_partkey").alias("b"), F.col("p_brand"), F.col("tokens").alias("tb"))
+    return one.join(two, "p_brand").filter("a < b").select("a", "b", similarity.token_score(F.col("ta"), F.col("tb")).alias("score"))
+
+
+def g4_conversation_merge(spark, sf_dir):
+    talk = _read(spark, sf_dir, "conversations").withColumn("n_chars", F.length("text").cast("double"))
+    told = similarity.group_facts(talk, "conv_id", "turn", "role", "text", "n_chars")
+    return told.select("conv_id", "n", F.array_join(F.array_sort("sources"), ",").alias("roles"), F.sha2("story", 256).alias("story"), "relevance")
+
+
+def h7_priority(spark, sf_dir):
+    v = F.col("value")
+    done = F.col("event_type") == "purchase"
+    sev = F.when(F.col("event_type") == "error", 75).otherwise(25)
+    return _read(spark, sf_dir, "events").select("event_id", scores.priority(v, sev, F.lit(82), v, F.lit(55), F.lit(35), done).alias("priority"), scores.confidence(v, F.lit(40), F.lit(34)).alias("confidence"))
+
+
+def i4_source_top(spark, sf_dir):
+    return tables.top_of_each(_read(spark, sf_dir, "orders"), "o_custkey", 5, F.desc("o_totalprice"), F.asc("o_orderkey")).select("o_custkey", "o_orderkey")
+
+
+def j1_first_wins(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").withColumn("sum", F.sha2("text", 256))
+    return tables.first_wins(docs, "sum", F.asc("doc_id")).select("doc_id", "sum")
+
+
+def m1_tumbling_counts(spark, sf_dir):
+    return feeds.tumbling_counts(_read(spark, sf_dir, "events"), "ts", "event_type").select(F.date_format("starts", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+def k5_clusters(spark, sf_dir):
+    """Clusters of short page titles, which carry no time: all are of one hour."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    pages = _read(spark, sf_dir, "pages").select("page_id", title.alias("title"), F.lit(_NOW).cast("timestamp").alias("at"))
+    return similarity.clusters(similarity.prepared(pages, "page_id", "title", "at"))
+
+
+QUERIES = (c1_term_hit, c3_matched_terms, c6_active_window, d8_record_id, e1_severity, h3_novelty, i2_diverse_top, j2_last_wins, j3_merge_by_id, b4_source_summary, d2_normalize_text, d7_to_int, d10_latin_tokens, e2_category, e6_relevance, e9_source_tier, e11_host, f1_anti_join, f6_token_pairs, g4_conversation_merge, h7_priority, i4_source_top, j1_first_wins, m1_tumbling_counts, k5_clusters)
 
 _BOUNDED = "regexp_matches(lower(text), '(^|[^a-z0-9]){}([^a-z0-9]|$)')"
 SQL = {
@@ -78,4 +154,30 @@ SQL = {
     "j2_last_wins": "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "j3_merge_by_id": f"SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '{_NOW}' - INTERVAL 14 DAYS ORDER BY ts DESC, event_id LIMIT 500",
     "b4_source_summary": "SELECT 'source' AS dimension, source AS value, count(*) AS n FROM documents GROUP BY source UNION ALL SELECT 'lang', lang, count(*) FROM documents GROUP BY lang",
+    "d2_normalize_text": r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\S+', ' ', 'g'), '[^a-z0-9一-鿿%$€£¥ ]+', ' ', 'g'), ' +', ' ', 'g')) AS plain FROM documents",
+    "d7_to_int": "SELECT o_orderkey, coalesce(CAST(trunc(try_cast(regexp_replace(o_orderpriority, '[^0-9.-]', '', 'g') AS DOUBLE)) AS BIGINT), 0) AS n FROM orders",
+    "d10_latin_tokens": r"SELECT doc_id, CAST(len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''\-]{2,}')), lambda t: t NOT IN ('that', 'with'))) AS INTEGER) AS n_tokens FROM documents",
+    "e2_category": "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'password|secret|token') THEN 'secrets' WHEN regexp_matches(lower(text), 'nicht|sich') THEN 'german' WHEN regexp_matches(lower(text), 'pour|dans') THEN 'french' ELSE 'other' END AS category FROM documents",
+    "e6_relevance": """WITH m AS (SELECT doc_id, lower(text) AS t FROM documents),
+        f AS (SELECT doc_id, contains(t, 'that') AS a, contains(t, 'with') AS e, contains(t, 'pour') OR contains(t, 'nicht') AS v, contains(t, 'para') AS s, contains(t, '%%%') AS n,
+            CASE WHEN regexp_matches(t, '(password|secret)') THEN 100 WHEN contains(t, 'http') THEN 75 WHEN regexp_matches(t, '[0-9]{3}') THEN 50 ELSE 25 END AS sev FROM m),
+        g AS (SELECT doc_id, greatest(0, least(100, 38 * a::INT + 28 * e::INT + 34 * v::INT + 14 * s::INT + CASE WHEN sev >= 75 THEN 10 WHEN sev >= 50 THEN 5 ELSE 0 END
+            + CASE WHEN n AND NOT v THEN -48 WHEN n THEN -15 ELSE 0 END + CASE WHEN a AND NOT e AND NOT v AND NOT s THEN -25 ELSE 0 END + CASE WHEN NOT a AND NOT e THEN -20 ELSE 0 END)) AS score FROM f)
+        SELECT doc_id, score, score >= 55 AS accepted FROM g""",
+    "e9_source_tier": "SELECT doc_id, CASE WHEN contains(source, 'src0') THEN 1 WHEN contains(source, 'src1') THEN 2 ELSE 3 END AS tier FROM documents",
+    "e11_host": "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '^www[.]', '') AS host FROM pages",
+    "f1_anti_join": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "f6_token_pairs": r"""WITH p AS (SELECT p_partkey, p_brand, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9][a-z0-9''\-]{2,}')) AS t FROM part WHERE p_size < 4),
+        q AS (SELECT x.p_partkey AS a, y.p_partkey AS b, len(list_intersect(x.t, y.t)) AS c, len(x.t) AS n, len(y.t) AS m FROM p x JOIN p y ON x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey)
+        SELECT a, b, CASE WHEN least(n, m) > 0 THEN 0.45::DOUBLE * c / (n + m - c) + 0.35::DOUBLE * c / least(n, m) ELSE 0 END AS score FROM q""",
+    "g4_conversation_merge": """WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS o, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC) AS b FROM conversations)
+        SELECT conv_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles, sha256(string_agg(text, ' ' ORDER BY o) FILTER (o <= 12)) AS story,
+            CAST(round_even(0.78::DOUBLE * max(length(text)) + 0.22::DOUBLE * (sum(length(text)) FILTER (b <= 3)::DOUBLE / count(*) FILTER (b <= 3)), 0) AS INTEGER) AS relevance FROM c GROUP BY conv_id""",
+    "h7_priority": """WITH p AS (SELECT event_id, event_type, value, greatest(0, least(100, CAST(round_even(0.30::DOUBLE * value + 0.25::DOUBLE * CASE WHEN event_type = 'error' THEN 75 ELSE 25 END
+        + 0.15::DOUBLE * 82 + 0.15::DOUBLE * value + 0.10::DOUBLE * 55 + 0.05::DOUBLE * 35, 0) AS INTEGER))) AS w FROM events)
+        SELECT event_id, CASE WHEN event_type = 'purchase' THEN greatest(0, least(100, CAST(round_even(w * 0.78::DOUBLE, 0) AS INTEGER))) ELSE w END AS priority,
+            greatest(0, least(100, CAST(round_even(0.55::DOUBLE * value + 0.30::DOUBLE * 40 + 0.15::DOUBLE * 34, 0) AS INTEGER))) AS confidence FROM p""",
+    "i4_source_top": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 5",
+    "j1_first_wins": "SELECT min(doc_id) AS doc_id, sha256(text) AS sum FROM documents GROUP BY sha256(text)",
+    "m1_tumbling_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
