@@ -97,7 +97,7 @@ def e11_host(spark, sf_dir):
 
 
 def f1_anti_join(spark, sf_dir):
-    return _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "orders").filter("o_orderdate < '1995-06-01'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 def f6_token_pairs(spark, sf_dir):
@@ -166,7 +166,7 @@ SQL = {
         SELECT doc_id, score, score >= 55 AS accepted FROM g""",
     "e9_source_tier": "SELECT doc_id, CASE WHEN contains(source, 'src0') THEN 1 WHEN contains(source, 'src1') THEN 2 ELSE 3 END AS tier FROM documents",
     "e11_host": "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '^www[.]', '') AS host FROM pages",
-    "f1_anti_join": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "f1_anti_join": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate < TIMESTAMP '1995-06-01')",
     "f6_token_pairs": r"""WITH p AS (SELECT p_partkey, p_brand, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9][a-z0-9''\-]{2,}')) AS t FROM part WHERE p_size < 4),
         q AS (SELECT x.p_partkey AS a, y.p_partkey AS b, len(list_intersect(x.t, y.t)) AS c, len(x.t) AS n, len(y.t) AS m FROM p x JOIN p y ON x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey)
         SELECT a, b, CASE WHEN least(n, m) > 0 THEN 0.45::DOUBLE * c / (n + m - c) + 0.35::DOUBLE * c / least(n, m) ELSE 0 END AS score FROM q""",
