@@ -8,6 +8,9 @@
 4. A large bucket whose members all lie in one component needs nothing more: no further link could change a
    class. In any other, the members outside the first one's component are compared with all members of other
    components, block by block inside tasks, and the components are formed again. So no bucket is capped.
+5. Links are counted apart from that: the members that a component has in large buckets are all compared, block by
+   block, and each pair that meets in a band is counted once. So counts do not depend on `pairwise` either; only
+   counts leave a block, never a row a link.
 
 A text of fewer than n words has one n-gram, its whole word sequence. Null and empty texts have no n-gram and
 link to nothing: each row is a class of its own. Rows that repeat a doc_id are joined by their texts; a null
@@ -162,14 +165,55 @@ def _rest(buckets: DataFrame, labels: DataFrame, grams: DataFrame, threshold: fl
     return sides[0].cogroup(sides[1]).applyInArrow(_block_links(threshold), "a bigint, b bigint")
 
 
+def _block_degrees(threshold: float):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        part, node = table["part"].to_numpy(), table["node"].to_numpy()
+        bands = np.array(table["bands"].to_pylist(), np.int64)
+        grams = [np.sort(np.asarray(x, np.int64)) for x in table["grams"].to_pylist()]
+        i, j = key[1].as_py(), key[2].as_py()
+        rows, columns = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        degree = np.zeros(len(node), np.int64)
+        if len(rows) and len(columns):
+            met = np.zeros((len(rows), len(columns)), bool)
+            for b in range(bands.shape[1]):
+                met |= bands[rows, b][:, None] == bands[columns, b][None, :]
+            if i == j:
+                np.fill_diagonal(met, False)
+            if met.any():
+                shared = _overlaps([grams[x] for x in rows], [grams[x] for x in columns])
+                size = np.array([len(x) for x in grams])
+                linked = met & (shared >= threshold * (size[rows][:, None] + size[columns][None, :] - shared))
+                degree[rows] += linked.sum(axis=1)
+                if i != j:
+                    degree[columns] += linked.sum(axis=0)
+        has = np.flatnonzero(degree)
+        return pa.table({"node": pa.array(node[has], pa.int64()), "degree": pa.array(degree[has], pa.int64())})
+
+    return run
+
+
+def _degrees(links: DataFrame, large: DataFrame, nodes: DataFrame, found: DataFrame, grams: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(node, degree): links of each node. Of `links` only those outside the large buckets count; the others come from blocks."""
+    wide = cut(large.select("node").distinct().join(found, "node"))
+    inside = lambda c: wide.select(F.col("node").alias(c), F.lit(True).alias(f"{c}_wide"))
+    apart = links.join(inside("a"), "a", "left").join(inside("b"), "b", "left").filter("a_wide is null or b_wide is null")
+    parts = wide.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    dealt = wide.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    cells = dealt.select("component", "node", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "part")
+    full = cells.join(nodes.select("node", "bands").dropDuplicates(["node"]), "node").join(grams, "node").select("component", "i", "j", "node", "part", "bands", "grams")
+    counted = full.groupBy("component", "i", "j").applyInArrow(_block_degrees(threshold), "node bigint, degree bigint")
+    one = lambda c: apart.select(F.col(c).alias("node"), F.lit(1).cast("bigint").alias("degree"))
+    return one("a").union(one("b")).union(counted).groupBy("node").agg(F.sum("degree").alias("degree"))
+
+
 def near_duplicates(
     docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, rows: int = 6, pairwise: int = 48, block: int = 192, seed: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """A row for each input row: id, class_id, n_links, n_copies.
 
     class_id is the smallest id of all rows reached over links. n_copies counts the other rows of the same word
-    sequence; n_links counts those and the verified links of the text to other texts. Of two texts in one
-    oversized bucket and one component the link may be implied by others and not counted; no class depends on it.
+    sequence; n_links counts those and the verified links of the text to other texts, each text once.
     """
     bands, rows = choose_bands(threshold, recall, rows)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -196,7 +240,7 @@ def near_duplicates(
         links = cut(links.union(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
         found = components(links)
 
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
+    degree = _degrees(links, large, nodes, found, grams, threshold, block)
     whole = nodes.drop("bands").join(found, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = whole.groupBy("component").agg(F.min("rep").alias("class_id"))
     told = whole.join(least, "component").select("node", "check", "class_id", F.coalesce("degree", F.lit(0)).alias("degree"), "size")
