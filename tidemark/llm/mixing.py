@@ -1,8 +1,9 @@
 """Mixing to target weights by iterative proportional fitting.
 
 Documents fall into cells of source, language and topic; token counts of the cells are raked until their
-marginals match the targets, and each document is kept with its cell's calibrated probability, by a hash of its
-id and text, so that a run can be repeated and a lost task gives the same rows again.
+marginals match the targets, and each document stays as often as its cell's calibrated weight asks, by a hash of
+its id and text, so that a run can be repeated and a lost task gives the same rows again. Documents of cells that
+are too small for their target stay more than once: else the sample would miss the targets.
 
 Every value that a target does not name belongs to the rest of that dimension ("*"), so there are at most
 (sources named + 1) * (languages named + 1) * (topics named + 1) cells, whatever the data hold: that bound makes
@@ -14,6 +15,7 @@ their decision. An empty table gives an empty result. Targets of dimensions with
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
@@ -63,24 +65,22 @@ def rake(mass: np.ndarray, targets: list[np.ndarray], rounds: int = 200, toleran
             fitted = fitted * np.expand_dims(ratio, tuple(x for x in axes if x != a))
         if worst < tolerance:
             break
+    miss = max(float(np.abs(sums(a) - t).max()) for a, t in enumerate(wanted))
+    if miss > 1e-4:
+        warnings.warn(f"the cells cannot meet all targets: a share is off by {miss:.4f}")
     return fitted
 
 
-def probabilities(mass: np.ndarray, weights: np.ndarray, share: float) -> np.ndarray:
-    """min(1, c * weight) with c such that `share` of the mass is expected to stay."""
-    lo, hi = 0.0, 1.0
-    expected = lambda c: float((mass * np.minimum(1.0, c * weights)).sum())
-    goal = min(share * mass.sum(), float(mass[weights > 0].sum()))
-    while expected(hi) < goal * (1 - 1e-12) and hi < 1e18:
-        hi *= 2
-    for _ in range(100):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if expected(mid) < goal else (lo, mid)
-    return np.minimum(1.0, hi * weights)
+def expected_copies(mass: np.ndarray, weights: np.ndarray, share: float) -> np.ndarray:
+    """c * weight, the mean number of copies, with c such that `share` of the mass is expected in the sample."""
+    return weights * (share * mass.sum() / float((mass * weights).sum()))
 
 
 def calibrate(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, share: float = 0.6, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", topic_col: str | None = None) -> DataFrame:
-    """The input rows and columns, with m_source, m_lang, m_topic, m_tokens, m_weight, m_probability and m_kept."""
+    """The input rows and columns, with m_source, m_lang, m_topic, m_tokens, m_weight, m_probability, m_copies and m_kept.
+
+    m_copies says how often the row belongs in the sample, m_probability the chance that it is there at all.
+    """
     dims = list(targets)
     names = [list(targets[d]) + ([] if REST in targets[d] else [REST]) for d in dims]
     text = as_text(text_col)
@@ -95,20 +95,26 @@ def calibrate(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARG
     for r in rows:
         mass[tuple(n.index(r[k]) for n, k in zip(names, keys))] = r["mass"]
     if not rows:
-        weights, chance = np.ones_like(mass), np.ones_like(mass)
+        weights, copies = np.ones_like(mass), np.ones_like(mass)
     else:
         fitted = rake(mass, [np.array([targets[d].get(k, 0.0) for k in n]) for d, n in zip(dims, names)])
         weights = np.divide(fitted * mass.sum(), mass, out=np.zeros_like(mass), where=mass > 0)
-        chance = probabilities(mass, weights, share)
+        copies = expected_copies(mass, weights, share)
     spot = F.lit(0)
     for n, k in zip(names, keys):
         spot = spot * len(n) + F.array_position(F.array(*map(F.lit, n)), F.col(k)).cast("int") - 1
     flat = lambda a: F.split(F.lit(",".join(repr(float(x)) for x in a.ravel())), ",").cast("array<double>")
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text), 11) / F.lit(float(1 << 53))
-    told = cells.withColumn("m_weight", F.get(flat(weights), spot)).withColumn("m_probability", F.get(flat(chance), spot))
-    return told.withColumn("m_kept", unit < F.col("m_probability")).select(*(F.col(c) for c in own), *keys, "m_tokens", "m_weight", "m_probability", "m_kept")
+    place = cells.withColumn("m_spot", spot)
+    sure, more = np.floor(copies), copies - np.floor(copies)
+    told = place.withColumns({"m_weight": F.get(flat(weights), F.col("m_spot")), "m_probability": F.get(flat(np.minimum(1.0, copies)), F.col("m_spot"))})
+    told = told.withColumn("m_copies", (F.get(flat(sure), F.col("m_spot")) + F.when(unit < F.get(flat(more), F.col("m_spot")), 1).otherwise(0)).cast("int"))
+    return told.withColumn("m_kept", F.col("m_copies") > 0).select(*(F.col(c) for c in own), *keys, "m_tokens", "m_weight", "m_probability", "m_copies", "m_kept")
 
 
 def sample(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents that the calibrated sample holds, with the columns of the input."""
-    return calibrate(docs, **parameters).filter("m_kept").select(*docs.columns)
+    """The documents that the calibrated sample holds, as often as it holds them, with the columns of the input."""
+    told = calibrate(docs, **parameters)
+    # The outer form, as a filter before it would compute the copies again.
+    again = told.select(*(F.col(c) for c in docs.columns), F.explode_outer(F.array_repeat(F.lit(0), F.col("m_copies"))).alias("m_again"))
+    return again.filter("m_again is not null").select(*docs.columns)

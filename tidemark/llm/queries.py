@@ -40,9 +40,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cell, calibrated probability and decision of every document."""
+    """Cell, calibrated probability, copies and decision of every document."""
     told = mixing.calibrate(_table(spark, sf_dir, "documents"))
-    names = ("source", "lang", "topic", "tokens", "weight", "probability", "kept")
+    names = ("source", "lang", "topic", "tokens", "weight", "probability", "copies", "kept")
     return told.select("doc_id", *(told[f"m_{c}"].alias(c) for c in names))
 
 
