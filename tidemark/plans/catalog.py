@@ -59,7 +59,7 @@ def j2_last_wins(spark, sf_dir):
 
 def j3_merge_by_id(spark, sf_dir):
     events = _read(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    return tables.merge_by_id(events, events.filter("event_id % 2 = 0"), "event_id", "ts", _now(), 14, 500).select("event_id", "user_id")
+    return tables.merge_by_id(events, events, "event_id", "ts", _now(), 14, 500).select("event_id", "user_id")
 
 
 def b4_source_summary(spark, sf_dir):
