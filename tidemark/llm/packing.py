@@ -1,8 +1,10 @@
 """Lexical retrieval packing.
 
 A document's tokens beyond its last whole window fill windows of their own at once. What is left of each document
-(less than a window) goes to a shard; shards are of equal, bounded size however many there are. A shard builds an
-inverted index with BM25 impacts over token ids. The first unused document seeds a window; its best-scoring unused
+(less than a window) goes to a shard; shards are of about equal, bounded size however many there are. Rests are dealt
+in the order of their rarest token among those that `least_df` rests hold, so lexical neighbours tend to share a
+shard, and a token of very many rests spreads over several. A shard builds an inverted index with BM25 impacts over
+token ids, with the document frequencies and the mean length of all rests. The first unused document seeds a window; its best-scoring unused
 neighbours fill it in order, the last one being cut to fit, with its rest staying unused. The last tokens of a
 shard go to sequences whose sizes are powers of two, which need no padding; so no sequence is padded.
 
@@ -75,10 +77,52 @@ def token_rows(window: int, path: str | None):
     return run
 
 
+def _unpacked(rests: list[bytes], lengths: list[int]) -> list[np.ndarray]:
+    return [np.frombuffer(r, "<u2" if len(r) == 2 * n else "<u4") for r, n in zip(rests, lengths)]
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each token id of a partition the number of rests that hold it."""
+    term, df = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        seen = [np.unique(d).astype(np.int64) for d in _unpacked(batch["rest"].to_pylist(), batch["length"].to_pylist())]
+        flat = np.concatenate([term, *seen])
+        term, at = np.unique(flat, return_inverse=True)
+        weight = np.ones(len(flat), np.int64)
+        weight[: len(df)] = df
+        df = np.bincount(at, weight, len(term)).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(df, pa.int64())], names=["term", "df"])
+
+
+class Corpus:
+    """What is known of all rests: their number, mean length and document frequencies (a row a token of the vocabulary)."""
+
+    def __init__(self, n: int, mean: float, terms: np.ndarray, df: np.ndarray):
+        order = np.argsort(terms)
+        self.n, self.mean, self.terms, self.df = n, mean, terms[order], df[order]
+
+    def frequency(self, terms: np.ndarray) -> np.ndarray:
+        return self.df[np.searchsorted(self.terms, terms)]
+
+
+def _keyed(corpus: Corpus, least_df: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for d in _unpacked(batch["rest"].to_pylist(), batch["length"].to_pylist()):
+                terms = np.unique(d)
+                df = corpus.frequency(terms)
+                fit = np.flatnonzero(df >= least_df)
+                keys.append(int(terms[fit[np.argmin(df[fit])]]) if len(fit) else -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "lexical"])
+
+    return run
+
+
 class Index:
     """Inverted index of a shard: for each token id the documents that hold it, with BM25 impacts."""
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None, k1: float = 1.2, b: float = 0.75):
         sizes = np.array([len(d) for d in docs])
         owner = np.repeat(np.arange(len(docs)), sizes)
         pairs, tf = np.unique(np.concatenate(docs).astype(np.int64) * len(docs) + owner, return_counts=True)
@@ -86,8 +130,9 @@ class Index:
         self.terms, first = np.unique(term, return_index=True)
         self.first = np.append(first, len(term))
         df = np.diff(self.first)
-        idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
-        norm = k1 * (1 - b + b * sizes / sizes.mean())
+        n, mean, held = (corpus.n, corpus.mean, corpus.frequency(self.terms)) if corpus else (len(docs), sizes.mean(), df)
+        idf = np.log1p((n - held + 0.5) / (held + 0.5))
+        norm = k1 * (1 - b + b * sizes / mean)
         self.impact = (np.repeat(idf, df) * tf * (k1 + 1) / (tf + norm[self.doc])).astype(np.float32)
         self.n = len(docs)
 
@@ -99,9 +144,9 @@ class Index:
         return out
 
 
-def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], window: int, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """(document, start in it, length, sequence, offset) of all pieces."""
-    index, used = Index(docs), [0] * len(docs)
+    index, used = Index(docs, corpus), [0] * len(docs)
     open_ = np.ones(len(docs), bool)
     out, sequence, next_seed = [], 0, 0
     left = sum(map(len, docs))
@@ -137,12 +182,12 @@ def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int,
     return out
 
 
-def _shard_pieces(window: int):
+def _shard_pieces(window: int, corpus: Corpus):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         length = table["length"].to_numpy()
-        docs = [np.frombuffer(r, "<u2" if len(r) == 2 * n else "<u4") for r, n in zip(table["rest"].to_pylist(), length.tolist())]
-        pieces = np.array(pack_shard(docs, window), np.int64).reshape(-1, 5)
+        docs = _unpacked(table["rest"].to_pylist(), length.tolist())
+        pieces = np.array(pack_shard(docs, window, corpus), np.int64).reshape(-1, 5)
         who = pa.array(pieces[:, 0])
         crc = [zlib.crc32(docs[d][a : a + n].astype("<u4").tobytes()) for d, a, n in pieces[:, :3].tolist()]
         shard = int(table["shard"][0].as_py())
@@ -161,7 +206,19 @@ def _shard_pieces(window: int):
     return run
 
 
-def pack(docs: DataFrame, window: int = 2048, shard_tokens: int = 400_000, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def corpus_of(rest: DataFrame) -> Corpus:
+    n, mean = rest.agg(F.count("*"), F.avg("length")).first()
+    found = rest.select("length", "rest").mapInArrow(_frequencies, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # at most a row a token of the vocabulary
+    return Corpus(n, mean or 0.0, found["term"].to_numpy(), found["df"].to_numpy())
+
+
+def keyed(rest: DataFrame, corpus: Corpus, least_df: int) -> DataFrame:
+    """The rests with the rarest token of each that least_df rests hold; -1 if there is none."""
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
+    return rest.mapInArrow(_keyed(corpus, least_df), f"{names}, lexical bigint")
+
+
+def pack(docs: DataFrame, window: int = 2048, shard_tokens: int = 400_000, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", least_df: int = 100) -> DataFrame:
     """A row a piece: the id, start, length, ids_crc32, doc_tokens, sequence_id and offset.
 
     Whole windows have negative sequence ids; the others hold the shard in their upper half.
@@ -172,7 +229,8 @@ def pack(docs: DataFrame, window: int = 2048, shard_tokens: int = 400_000, token
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     whole = rows.filter("rest is null").select("id", "start", "length", F.col("crc").alias("ids_crc32"), F.col("total").alias("doc_tokens"), (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     rest = rows.filter("rest is not null")
-    shards = 1 + (rest.agg(F.sum("length")).first()[0] or 0) // shard_tokens
-    dealt = rest.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), "id", "start", "length", "total", "rest")
-    packed = dealt.groupBy("shard").applyInArrow(_shard_pieces(window), f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    corpus = corpus_of(rest)
+    shards = 1 + round(corpus.n * corpus.mean) // shard_tokens
+    dealt = keyed(rest, corpus, least_df).repartitionByRange(shards, "lexical", "row").withColumn("shard", F.spark_partition_id()).select("shard", "id", "start", "length", "total", "rest")
+    packed = dealt.groupBy("shard").applyInArrow(_shard_pieces(window, corpus), f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
     return whole.union(packed).withColumnRenamed("id", id_col)
