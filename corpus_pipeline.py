@@ -39,7 +39,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", keep_by_quality), ("near_duplicates", drop_near_duplicates), ("secrets", redact_secrets), ("mixing", mix), ("packing", pack)]
 
-#: SQL cannot express the stages; tests compare them with brute-force versions.
+#: SQL cannot express the stages. Tests cover the operators they call; none runs the stages one after another.
 ORACLE_SQL = None
 
 
