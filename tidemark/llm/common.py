@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,19 +17,48 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
+#: Spark's setting that removes the shuffle files of an execution at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def _checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir: the cluster's shared one. Only where it is unset, a temporary one."""
+    """The folder of spark.checkpoint.dir: the cluster's shared one.
+
+    Where it is unset, a temporary one in local mode and an error on a cluster, whose machines would not share it.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and drop the lineage."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise in the shared folder and drop the lineage, and with it the shuffle files that led there."""
+    spark = df.sparkSession
+    _checkpoint_dir(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the plan made here takes the setting
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*frames: DataFrame | None) -> None:
+    """Delete the files of frames that came from cut() and that no plan still in use reads."""
+    for df in frames:
+        if df is not None:
+            files = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+            if files.isDefined():
+                _delete(df.sparkSession, files.get())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,6 +66,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table written to a folder of shared_folder()."""
+    _delete(spark, path)
+
+
 def as_text(column: str) -> Column:
     """The column as a string that is never null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
