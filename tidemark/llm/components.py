@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == seen or not now[0]:
             break
         seen = now
-        state = cut(_small_star(_large_star(state)))
+        spent, state = state, cut(_small_star(_large_star(state)))
+        drop(spent)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return state.select(F.col("a").alias("node"), F.col("b").alias("component")).union(

@@ -14,7 +14,8 @@
 
 A text of fewer than n words has one n-gram, its whole word sequence. Null and empty texts have no n-gram and
 link to nothing: each row is a class of its own. Rows that repeat a doc_id are joined by their texts; a null
-doc_id stays null in the result.
+doc_id stays null in the result. Very long texts are read one at a time. An empty table gives an empty result. Of the
+table's columns only the two named are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, chunks, cut, lists, utf8
+from .common import as_text, chunks, cut, fresh, lists, utf8
 from .components import components
 from .hashing import hash_words, mix, runs, windows
 
@@ -171,6 +172,7 @@ def _block_degrees(threshold: float):
         part, node = table["part"].to_numpy(), table["node"].to_numpy()
         bands = np.array(table["bands"].to_pylist(), np.int64)
         grams = [np.sort(np.asarray(x, np.int64)) for x in table["grams"].to_pylist()]
+        held = table["size"].to_numpy()
         i, j = key[1].as_py(), key[2].as_py()
         rows, columns = np.flatnonzero(part == i), np.flatnonzero(part == j)
         degree = np.zeros(len(node), np.int64)
@@ -184,9 +186,9 @@ def _block_degrees(threshold: float):
                 shared = _overlaps([grams[x] for x in rows], [grams[x] for x in columns])
                 size = np.array([len(x) for x in grams])
                 linked = met & (shared >= threshold * (size[rows][:, None] + size[columns][None, :] - shared))
-                degree[rows] += linked.sum(axis=1)
+                degree[rows] += linked @ held[columns]
                 if i != j:
-                    degree[columns] += linked.sum(axis=0)
+                    degree[columns] += held[rows] @ linked
         has = np.flatnonzero(degree)
         return pa.table({"node": pa.array(node[has], pa.int64()), "degree": pa.array(degree[has], pa.int64())})
 
@@ -194,17 +196,18 @@ def _block_degrees(threshold: float):
 
 
 def _degrees(links: DataFrame, large: DataFrame, nodes: DataFrame, found: DataFrame, grams: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(node, degree): links of each node. Of `links` only those outside the large buckets count; the others come from blocks."""
+    """(node, degree): rows that each node's links reach. Of `links` only those outside the large buckets count; the others come from blocks."""
     wide = cut(large.select("node").distinct().join(found, "node"))
     inside = lambda c: wide.select(F.col("node").alias(c), F.lit(True).alias(f"{c}_wide"))
     apart = links.join(inside("a"), "a", "left").join(inside("b"), "b", "left").filter("a_wide is null or b_wide is null")
     parts = wide.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     dealt = wide.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     cells = dealt.select("component", "node", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "part")
-    full = cells.join(nodes.select("node", "bands").dropDuplicates(["node"]), "node").join(grams, "node").select("component", "i", "j", "node", "part", "bands", "grams")
+    full = cells.join(nodes.select("node", "bands", "size").dropDuplicates(["node"]), "node").join(grams, "node").select("component", "i", "j", "node", "part", "bands", "size", "grams")
     counted = full.groupBy("component", "i", "j").applyInArrow(_block_degrees(threshold), "node bigint, degree bigint")
-    one = lambda c: apart.select(F.col(c).alias("node"), F.lit(1).cast("bigint").alias("degree"))
-    return one("a").union(one("b")).union(counted).groupBy("node").agg(F.sum("degree").alias("degree"))
+    both = apart.select(F.col("a").alias("node"), F.col("b").alias("far")).union(apart.select(F.col("b").alias("node"), F.col("a").alias("far")))
+    reached = both.join(nodes.groupBy(F.col("node").alias("far")).agg(F.sum("size").alias("degree")), "far").select("node", "degree")
+    return reached.union(counted).groupBy("node").agg(F.sum("degree").alias("degree"))
 
 
 def near_duplicates(
@@ -213,7 +216,7 @@ def near_duplicates(
     """A row for each input row: id, class_id, n_links, n_copies.
 
     class_id is the smallest id of all rows reached over links. n_copies counts the other rows of the same word
-    sequence; n_links counts those and the verified links of the text to other texts, each text once.
+    sequence; n_links counts those and all rows of other texts that the row's text has a verified link to.
     """
     bands, rows = choose_bands(threshold, recall, rows)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -258,5 +261,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", **parameters) -> DataFra
     Of rows that repeat an id and a text one stays. Rows with a null id are kept.
     """
     result = near_duplicates(docs, id_col=id_col, **parameters)
-    chosen = result.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(chosen, docs[id_col] == chosen["_kept_id"], "left_semi").dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    chosen = result.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias(fresh("_kept_id", docs.columns))).distinct()
+    return docs.join(chosen, docs[id_col] == chosen[chosen.columns[0]], "left_semi").dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
