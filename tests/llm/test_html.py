@@ -63,3 +63,8 @@ def test_odd_rows(spark, model):
     got = html_extract.extract(spark.createDataFrame(rows + rows[2:], schema), model).collect()
     assert sorted(r["n_chars"] for r in got) == [0, 0, 250_007, 250_007]
     assert html_extract.extract(spark.createDataFrame([], schema), model).count() == 0
+
+
+def test_content_that_is_no_text_stays_within_a_line():
+    page = parse("<p>one <script>x()</script>two</p><p>a <svg><path/></svg>b</p><p>c <button>Buy</button> d<select><option>1</select></p><p>e <script>never closed")
+    assert page.text == ["one two", "a b", "c d", "e"]

@@ -15,7 +15,9 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split()
 )
 #: Elements whose content is never text of the page.
-OPAQUE = frozenset("script style noscript template iframe title textarea svg math object xmp".split())
+OPAQUE = frozenset("script style noscript template iframe title textarea svg math object xmp button select datalist canvas audio video".split())
+#: Opaque elements that end a block; the others stand within a line of text.
+ENDING = frozenset("title textarea xmp".split())
 #: Elements without content.
 EMPTY = frozenset("area base col embed hr input link meta param source track".split())
 #: An opening tag of the key ends an open element of the values.
@@ -101,7 +103,8 @@ def parse(source: str | None) -> Page:
         at = match.end()
         closing, tag, attributes = match[1], match[2].lower(), match[3]
         if tag in OPAQUE and not closing:
-            flush()
+            if tag in ENDING:
+                flush()
             if not attributes.endswith("/"):
                 gone = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(source, at) if tag not in missing else None
                 if gone:
