@@ -71,6 +71,14 @@ def drop_table(spark: SparkSession, path: str) -> None:
     _delete(spark, path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, or one with more underscores before it, that no column of a table has (in any case of letters)."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def as_text(column: str) -> Column:
     """The column as a string that is never null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -17,7 +17,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def code(vector: Column, bits: int = 64) -> Column:
@@ -55,8 +55,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64,
         both = (met if best is None else met.unionByName(best)).dropDuplicates(["q", "code"])
         # A code is of use only while nearer codes hold fewer than k + 1 rows (one may be the query itself).
         before = F.sum("n").over(Window.partitionBy("q").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1))
-        best = cut(both.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") <= k).drop("_before"))
+        spent, best = best, cut(both.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") <= k).drop("_before"))
         near = best.filter(F.col("distance") <= (r + 1) * segments - 1).groupBy("q").agg(F.sum("n").alias("n")).filter(F.col("n") > k)
+        drop(spent)
         open_ = cut(open_.join(near, "q", "left_anti"))
         if open_.isEmpty():
             break

@@ -10,7 +10,7 @@ Every value that a target does not name belongs to the rest of that dimension ("
 it safe to fit on the driver and to send the probabilities as a literal.
 
 Null values belong to the rest. Null and empty texts weigh one token. Rows that repeat an id and a text share
-their decision. An empty table gives an empty result. Targets of dimensions without any tokens are ignored.
+their decision. Very long texts are read as a whole, for their length. An empty table gives an empty result. Targets of dimensions without any tokens are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ TARGETS: dict[str, dict[str, float]] = {
 
 
 def n_tokens(text: Column) -> Column:
-    """About the number of words: white-space runs and one."""
-    return (F.regexp_count(text, F.lit(SPACE)) + 1).cast("bigint")
+    """About the number of words: white-space runs inside the trimmed text, and one."""
+    return (F.regexp_count(F.btrim(text, F.lit(" \t\n\x0b\f\r")), F.lit(SPACE)) + 1).cast("bigint")
 
 
 def topic(text: Column, tokens: Column) -> Column:
@@ -76,21 +76,25 @@ def expected_copies(mass: np.ndarray, weights: np.ndarray, share: float) -> np.n
     return weights * (share * mass.sum() / float((mass * weights).sum()))
 
 
-def calibrate(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, share: float = 0.6, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", topic_col: str | None = None) -> DataFrame:
-    """The input rows and columns, with m_source, m_lang, m_topic, m_tokens, m_weight, m_probability, m_copies and m_kept.
+def calibrate(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, share: float = 0.6, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", topic_col: str | None = None, prefix: str = "m_") -> DataFrame:
+    """The input rows and columns, with source, lang, topic, tokens, weight, probability, copies and kept, each name behind the prefix.
 
-    m_copies says how often the row belongs in the sample, m_probability the chance that it is there at all.
+    copies says how often the row belongs in the sample, probability the chance that it is there at all. Input columns
+    of these names, prefix included, are replaced; `sample` takes a prefix that no column has.
     """
     dims = list(targets)
     names = [list(targets[d]) + ([] if REST in targets[d] else [REST]) for d in dims]
     text = as_text(text_col)
+    results = [*dims, "tokens", "spot", "weight", "probability", "copies", "kept"]
+    col = lambda name: F.col(f"`{prefix}{name}`")
+    docs = docs.drop(*(f"{prefix}{r}" for r in results))
     own = docs.columns
-    cells = docs.withColumn("m_tokens", n_tokens(text))
+    cells = docs.withColumn(f"{prefix}tokens", n_tokens(text))
     for d, known in zip(dims, names):
-        value = topic(text, F.col("m_tokens")) if d == "topic" and topic_col is None else F.col(topic_col if d == "topic" else d)
-        cells = cells.withColumn(f"m_{d}", F.when(value.isin([k for k in known if k != REST]), value.cast("string")).otherwise(F.lit(REST)))
-    keys = [f"m_{d}" for d in dims]
-    rows = cells.groupBy(*keys).agg(F.sum("m_tokens").alias("mass")).collect()  # at most as many as the targets span
+        value = topic(text, col("tokens")) if d == "topic" and topic_col is None else F.col(topic_col if d == "topic" else d)
+        cells = cells.withColumn(f"{prefix}{d}", F.when(value.isin([k for k in known if k != REST]), value.cast("string")).otherwise(F.lit(REST)))
+    keys = [f"{prefix}{d}" for d in dims]
+    rows = cells.groupBy(*keys).agg(F.sum(col("tokens")).alias("mass")).collect()  # at most as many as the targets span
     mass = np.zeros([len(n) for n in names])
     for r in rows:
         mass[tuple(n.index(r[k]) for n, k in zip(names, keys))] = r["mass"]
@@ -102,19 +106,23 @@ def calibrate(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARG
         copies = expected_copies(mass, weights, share)
     spot = F.lit(0)
     for n, k in zip(names, keys):
-        spot = spot * len(n) + F.array_position(F.array(*map(F.lit, n)), F.col(k)).cast("int") - 1
+        spot = spot * len(n) + F.array_position(F.array(*map(F.lit, n)), F.col(f"`{k}`")).cast("int") - 1
     flat = lambda a: F.split(F.lit(",".join(repr(float(x)) for x in a.ravel())), ",").cast("array<double>")
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text), 11) / F.lit(float(1 << 53))
-    place = cells.withColumn("m_spot", spot)
+    place = cells.withColumn(f"{prefix}spot", spot)
     sure, more = np.floor(copies), copies - np.floor(copies)
-    told = place.withColumns({"m_weight": F.get(flat(weights), F.col("m_spot")), "m_probability": F.get(flat(np.minimum(1.0, copies)), F.col("m_spot"))})
-    told = told.withColumn("m_copies", (F.get(flat(sure), F.col("m_spot")) + F.when(unit < F.get(flat(more), F.col("m_spot")), 1).otherwise(0)).cast("int"))
-    return told.withColumn("m_kept", F.col("m_copies") > 0).select(*(F.col(c) for c in own), *keys, "m_tokens", "m_weight", "m_probability", "m_copies", "m_kept")
+    told = place.withColumns({f"{prefix}weight": F.get(flat(weights), col("spot")), f"{prefix}probability": F.get(flat(np.minimum(1.0, copies)), col("spot"))})
+    told = told.withColumn(f"{prefix}copies", (F.get(flat(sure), col("spot")) + F.when(unit < F.get(flat(more), col("spot")), 1).otherwise(0)).cast("int"))
+    return told.withColumn(f"{prefix}kept", col("copies") > 0).select(*(F.col(f"`{c}`") for c in own), *(col(r) for r in results if r != "spot"))
 
 
 def sample(docs: DataFrame, **parameters) -> DataFrame:
     """The documents that the calibrated sample holds, as often as it holds them, with the columns of the input."""
-    told = calibrate(docs, **parameters)
+    prefix = "m_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    told = calibrate(docs, prefix=prefix, **parameters)
     # The outer form, as a filter before it would compute the copies again.
-    again = told.select(*(F.col(c) for c in docs.columns), F.explode_outer(F.array_repeat(F.lit(0), F.col("m_copies"))).alias("m_again"))
-    return again.filter("m_again is not null").select(*docs.columns)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    again = told.select(*own, F.explode_outer(F.array_repeat(F.lit(0), F.col(f"`{prefix}copies`"))).alias(f"{prefix}again"))
+    return again.filter(F.col(f"`{prefix}again`").isNotNull()).select(*own)

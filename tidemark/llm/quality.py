@@ -11,7 +11,7 @@ A text without any common word lies at 0.335 to 0.359 from the references, as th
 rest. The most_word below that is fitted on the labels of sf0.1 with even doc_id that pass the base rules: the least
 multiple of 0.01 at which no good document is lost.
 
-Null and empty texts have no words and fail the base rule. Repeated rows get the same verdict each. An empty
+Null and empty texts have no words and fail the base rule. Very long texts are judged whole. Repeated rows get the same verdict each. An empty
 table gives an empty result. No reference for any language (none of the known codes occurs): only the base rule
 decides.
 """
@@ -110,6 +110,14 @@ def measures(common: dict[str, list[str]] = COMMON_WORDS, text_col: str = "text"
     return let(words_of(text), lambda w: let(class_histogram(text), lambda c: facts(w, c)))
 
 
+def histograms(common: dict[str, list[str]] = COMMON_WORDS, text_col: str = "text", lang_col: str = "lang") -> Column:
+    """A struct of what the references need of a text, without the other counts."""
+    vocabulary = list(dict.fromkeys(w for ws in common.values() for w in ws))
+    text = as_text(text_col)
+    words = let(words_of(text), lambda w: word_histogram(w, vocabulary))
+    return F.struct(F.when(F.col(lang_col).isin(list(common)), F.col(lang_col)).alias("lang"), class_histogram(text).alias("chars"), words.alias("words"))
+
+
 def references(measured: DataFrame, common: dict[str, list[str]] = COMMON_WORDS) -> list[tuple[list[float], list[float]]]:
     """Summed histograms of all documents of each known language."""
     part = measured.select("_facts.lang", "_facts.chars", "_facts.words")
@@ -151,5 +159,5 @@ def passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     verdict is one expression: a column in between would be computed once for each use when the filter moves.
     """
     facts = measures(text_col=text_col, lang_col=lang_col)
-    refs = references(docs.select(facts.alias("_facts")))
+    refs = references(docs.select(histograms(text_col=text_col, lang_col=lang_col).alias("_facts")))
     return docs.filter(let(facts, lambda f: verdict(f, refs)["kept"]))

@@ -5,8 +5,9 @@ of length. The rules' strict forms are compiled together, by subset construction
 minimisation, into one automaton; one pass over a text's bytes tells whether any rule fires, and which. Only a text with a hit is read again, for exact spans of the rules that fired: a reversed automaton
 marks where matches start, a forward one takes each to its longest end.
 
-Null and empty texts have no secrets. Spans count code points, end exclusive. Copies and ties need no care: each
-text is judged alone.
+Null and empty texts have no secrets. Very long texts are scanned whole, one at a time. Spans count code points, end
+exclusive. Copies and ties need no care: each text is judged alone; spans that start together go in the order of the
+rules. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -204,13 +205,14 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, n_base: int = len(BAS
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """The input rows and columns, each secret in the text replaced by <kind>. Null texts stay null."""
+    """The input rows and columns, each secret in the text replaced by <kind>. Null texts stay null. Columns may have any names."""
     compiled = compile_rules(rules)
+    column = next(i for i, c in enumerate(docs.columns) if c.lower() == text_col.lower())
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots do not pass through the map
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(compiled)
         for batch in batches:
-            column = batch.schema.get_field_index(text_col)
             out = []
             for value in batch.column(column):
                 text = value.as_py()
@@ -218,4 +220,4 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
                 out.append(redacted(text, found, scanner.rules) if found else text)
             yield pa.RecordBatch.from_arrays([pa.array(out, batch.schema.field(i).type) if i == column else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -5,7 +5,8 @@ from its name; shards claim their next free slot in turns until the table is ful
 broadcast join of the table (one row a slot: the size is the parameter) gives its shard. Slot counts of any two
 shards differ by one at most, and when a shard leaves, few keys of other shards move.
 
-Null ids hash as the empty string, so that every row gets a shard. Repeated ids share theirs.
+Null ids hash as the empty string, so that every row gets a shard. Repeated ids share theirs. Texts are not read. An
+empty table gives an empty result. Input columns called slot or shard are replaced; any others may have any name.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 
 def fill(shards: list[str], size: int) -> list[int]:
     """The shard number of each slot."""
@@ -38,14 +41,15 @@ def fill(shards: list[str], size: int) -> list[int]:
 
 
 def place(docs: DataFrame, shards: list[str] | None = None, size: int = 8191, id_col: str = "doc_id") -> DataFrame:
-    """The input rows and columns, with slot and shard behind them."""
+    """The input rows and columns, with slot and shard behind them. Input columns of these two names are replaced."""
     shards = shards or [f"shard-{i:03d}" for i in range(64)]
     table = docs.sparkSession.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, fill(shards, size)))), ",")).alias("slot", "shard"))
-    table = table.select(F.col("slot").alias("_slot"), F.col("shard").cast("int").alias("shard"))
+    key, found = fresh("_slot", docs.columns), fresh("_shard", docs.columns)
+    table = table.select(F.col("slot").alias(key), F.col("shard").cast("int").alias(found))
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     slot = F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), F.lit(size)).cast("int")
-    own = [docs[c] for c in docs.columns]
-    return docs.withColumn("_slot", slot).join(F.broadcast(table), "_slot").select(*own, F.col("_slot").alias("slot"), "shard")
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("slot", "shard")]
+    return docs.withColumn(key, slot).join(F.broadcast(table), key).select(*own, F.col(key).alias("slot"), F.col(found).alias("shard"))
 
 
 def oracle(shards: list[str] | None = None, size: int = 8191) -> str:
