@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import mixing, ngram_join, packing, quality, secrets
-from tidemark.llm.common import shared_folder
+from tidemark.llm.common import drop_table, shared_folder
 from tidemark.session import ship
 
 
@@ -46,9 +46,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    folder = shared_folder(spark)
+    folder, before = shared_folder(spark), None
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_table(spark, before)
+        before = path
     return docs
