@@ -35,7 +35,7 @@ def test_scores(spark):
     no = F.lit(False)
     assert one(spark, scores.momentum(no, F.lit(3), F.lit(0), F.lit(0), no, no, no, F.lit(True))) == 12
     assert one(spark, scores.momentum(F.lit(True), F.lit(2), F.lit(0), F.lit(0), no, no, F.lit(True), no)) == 73
-    assert one(spark, scores.engagement(F.create_map(F.lit("like"), F.lit(99)))) == 6
+    assert one(spark, scores.engagement(F.create_map(F.lit("like_count"), F.lit(99), F.lit("view_count"), F.lit(10**9)))) == 6
     assert one(spark, rules.lifecycle(no, no, F.lit(90), F.lit(30), no, no, F.lit(0), F.lit("escalating"), F.lit(2))) == "escalating"
     assert one(spark, rules.lifecycle(F.lit(True), no, F.lit(90), F.lit(30), no, no, F.lit(0), F.lit("x"), F.lit(2))) == "resolved"
 
@@ -54,9 +54,12 @@ def test_clusters_against_a_plain_loop(spark):
         for c in reversed(range(len(leaders))):
             a, b = said[i], said[leaders[c]]
             ta, tb = set(a["tokens"]), set(b["tokens"])
+            ratio = difflib.SequenceMatcher(None, a["text"], b["text"]).ratio()
             if not ta or not tb:
+                if ratio >= 0.6 and ratio > score:
+                    best, score = c, ratio
                 continue
-            s = 0.45 * len(ta & tb) / len(ta | tb) + 0.35 * len(ta & tb) / min(len(ta), len(tb)) + 0.2 * difflib.SequenceMatcher(None, a["text"], b["text"]).ratio()
+            s = 0.45 * len(ta & tb) / len(ta | tb) + 0.35 * len(ta & tb) / min(len(ta), len(tb)) + 0.2 * ratio
             if a["numbers"] and b["numbers"] and not set(a["numbers"]) & set(b["numbers"]):
                 s -= 0.1
             if s >= 0.6 and s > score:
@@ -64,7 +67,7 @@ def test_clusters_against_a_plain_loop(spark):
         if best is None:
             best = len(leaders)
             leaders.append(i)
-        elif len(said[i]["text"]) > 1.25 * len(said[leaders[best]]["text"]):
+        elif said[i]["length"] > 1.25 * said[leaders[best]]["length"]:
             leaders[best] = i
         want[i] = best
     assert got == want and len(set(got.values())) < len(got)
@@ -73,7 +76,7 @@ def test_clusters_against_a_plain_loop(spark):
 def test_loose_rows(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, [{"note_id": "7", "desc": "hello  there", "liked_count": "1,200", "time": 1700000000000}, {"title": "", "content": "x"}])) + "\nnot json\n")
     got = files.normalize(files.read_rows(spark, str(tmp_path / "a.jsonl"), "jsonl"), "xhs").orderBy("text").collect()
-    assert [r["text"] for r in got] == ["hello there", "x"] and got[0]["likes"] == 1200 and str(got[0]["published_at"]).startswith("2023-11-14")
+    assert [r["text"] for r in got] == ["hello there", "x"] and got[0]["engagement"]["like_count"] == 1200 and got[0]["author"] == "unknown" and got[1]["url"] == "" and str(got[0]["published_at"]).startswith("2023-11-14")
 
 
 def test_stream_counts_equal_batch(spark, tmp_path):
@@ -89,4 +92,4 @@ def test_stream_counts_equal_batch(spark, tmp_path):
 
 
 def test_all_queries_have_sql_or_a_test():
-    assert {q.__name__ for q in catalog.QUERIES} - set(catalog.SQL) == {"k5_clusters"}
+    assert {q.__name__ for q in catalog.QUERIES} - set(catalog.SQL) == {"k5_clusters", "f6_similar_pairs"}

@@ -5,40 +5,180 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import matched_terms
+from . import fixed
+from .text import has_alias, matched_terms, term_hit
 
+def _add(c: Column, n: int) -> Column:
+    return F.when(c, n).otherwise(0)
 
-def relevance_decision(text: Column, anchors: list[str], entities: list[str], events: list[str], strategic: list[str], noise: list[str], severity: Column) -> Column:
-    """Struct of score, accepted and the matched anchors and events of a social post."""
-    found = {n: matched_terms(text, w) for n, w in {"anchor": anchors, "entity": entities, "event": events, "strategic": strategic, "noise": noise}.items()}
-    has = {n: F.size(c) > 0 for n, c in found.items()}
-    add = lambda c, n: F.when(c, n).otherwise(0)
-    score = add(has["anchor"], 38) + add(has["entity"], 28) + add(has["event"], 34) + add(has["strategic"], 14)
+
+def relevance_decision(text: Column, anchors: list[str], events: list[str], strategic: list[str], noise: list[str], severity: Column, entities: Column, profiles: Column) -> Column:
+    """What the rules for social posts say of a text, as a struct.
+
+    Posts are accepted that name an event beside a known entity or an anchor and score 55, or an event and a
+    strategic asset in a profiled country and score 60. entities and profiles: arrays of what match_profiles found.
+    """
+    found = {n: matched_terms(text, w) for n, w in {"anchors": anchors, "events": events, "strategic": strategic, "noise": noise}.items()}
+    has = {n: F.size(c) > 0 for n, c in {**found, "entities": entities, "profiles": profiles}.items()}
+    score = _add(has["anchors"], 38) + _add(has["entities"], 28) + _add(has["events"], 34) + _add(has["strategic"], 14)
     score += F.when(severity >= 75, 10).when(severity >= 50, 5).otherwise(0)
-    score += F.when(has["noise"] & ~has["event"], -48).when(has["noise"], -15).otherwise(0)
-    score += add(has["anchor"] & ~has["entity"] & ~has["event"] & ~has["strategic"], -25) + add(~has["anchor"] & ~has["entity"], -20)
+    score += F.when(has["noise"] & ~has["events"], -48).when(has["noise"], -15).otherwise(0)
+    score += _add(has["anchors"] & ~has["entities"] & ~has["events"], -25) + _add(~has["anchors"] & ~has["entities"], -20)
     score = F.greatest(F.lit(0), F.least(F.lit(100), score))
-    return F.struct(score.alias("score"), (score >= 55).alias("accepted"), found["anchor"].alias("anchors"), found["event"].alias("events"))
+    by_entity, by_anchor = has["entities"] & has["events"], has["anchors"] & has["events"]
+    relation = (
+        F.when(by_entity, F.when(score >= 55, "indirect").otherwise("unrelated")).when(by_anchor, F.when(score >= 55, "direct").otherwise("unrelated"))
+        .when(has["profiles"] & has["events"] & has["strategic"] & (score >= 60), "potential").otherwise("unrelated")
+    )
+    accepted = relation != "unrelated"
+    sure = F.when(accepted & (has["anchors"] | has["entities"]) & has["events"], 72).when(accepted, 55).otherwise(70)
+    lists = [F.slice(c, 1, 12).alias(n) for n, c in found.items()]
+    return F.struct(score.alias("score"), accepted.alias("accepted"), relation.alias("relation"), sure.alias("confidence"), *lists, F.slice(entities, 1, 12).alias("entities"), F.slice(profiles, 1, 8).alias("profiles"))
+
+
+def match_profiles(text: Column, country: Column, profiles: dict[str, dict[str, list[str]]]) -> Column:
+    """Struct of the profiles (8 at most) and entities (15 at most) that a text and its country match.
+
+    profiles: name -> aliases and entities. The profile of the country comes first, then those with an alias or an
+    entity in the text, in their order.
+    """
+    low, home = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.trim(F.coalesce(country, F.lit(""))))
+    own, named, things = F.lit(None).cast("string"), [], []
+    for name, spec in reversed(profiles.items()):
+        aliases = [name, *map(str, spec.get("aliases") or [])]
+        own = F.when((home != "") & home.isin([a.lower() for a in aliases]), name).otherwise(own)
+    for name, spec in profiles.items():
+        hit = F.lit(False)
+        for alias in [name, *map(str, spec.get("aliases") or [])]:
+            hit = hit | has_alias(low, alias)
+        for entity in (str(e).strip() for e in spec.get("entities") or []):
+            if len(entity) >= 3:
+                there = has_alias(low, entity)
+                hit = hit | there
+                things.append(F.when(there, entity))
+        named.append(F.when(hit, name))
+    some = lambda cs: F.filter(F.array(*cs).cast("array<string>"), lambda x: x.isNotNull())
+    first = F.filter(F.array(own), lambda x: x.isNotNull())
+    return F.struct(F.slice(F.array_distinct(F.concat(first, some(named))), 1, 8).alias("profiles"), F.slice(F.array_distinct(some(things)), 1, 15).alias("entities"))
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    return F.coalesce(text, F.lit("")).rlike(f"(?i){pattern}")
+
+
+def heuristic_decision(text: Column, country: Column, matched: Column, social: bool = False, direct: str = fixed.DIRECT, major: str = fixed.MAJOR, leisure: str = fixed.LEISURE) -> Column:
+    """Struct of relation, confidence and entities: the first rule of the cascade that applies. matched: what match_profiles found."""
+    sure = lambda news, post: F.lit(post if social else news)
+    none = F.array().cast("array<string>")
+    grave = _matches(text, major) & ~_matches(text, leisure)
+    at_home = F.trim(F.coalesce(country, F.lit(""))).isin(list(fixed.HOME_COUNTRIES))
+    special = F.exists(matched["profiles"], lambda p: ~F.lower(p).isin(list(fixed.GENERIC_PROFILES)))
+    say = lambda relation, n, things: F.struct(F.lit(relation).alias("relation"), n.alias("confidence"), things.alias("entities"))
+    return (
+        F.when(_matches(text, direct), say("direct", sure(94, 62), none))
+        .when(at_home & grave, say("direct", sure(88, 58), none))
+        .when(F.size(matched["entities"]) > 0, say("indirect", sure(84, 58), matched["entities"]))
+        .when(special & grave, say("potential", sure(62, 45), none))
+        .otherwise(say("unrelated", F.lit(55), none))
+    )
+
+
+def is_candidate(text: Column, country: Column, matched: Column, direct: str = fixed.DIRECT, major: str = fixed.MAJOR, leisure: str = fixed.LEISURE) -> Column:
+    """Whether a text is worth a closer look: direct terms, a known entity, or a grave event at home or in a profiled country."""
+    grave = _matches(text, major) & ~_matches(text, leisure)
+    at_home = F.trim(F.coalesce(country, F.lit(""))).isin(list(fixed.HOME_COUNTRIES))
+    return _matches(text, direct) | (F.size(matched["entities"]) > 0) | (grave & (at_home | (F.size(matched["profiles"]) > 0)))
+
+
+def risk_taxonomy(text: Column, taxonomy: dict[str, dict]) -> Column:
+    """The risk categories with a term in the text, as structs, by weight and number of terms, largest first.
+
+    taxonomy: key -> label_zh, label_en, exposure_weight and terms.
+    """
+    made = []
+    for i, (key, spec) in enumerate(taxonomy.items()):
+        hits = F.filter(F.array(*(F.when(term_hit(text, t), str(t)) for t in spec.get("terms") or [])).cast("array<string>"), lambda x: x.isNotNull())
+        made.append(
+            F.struct(
+                F.lit(int(spec.get("exposure_weight") or 60)).alias("weight"), F.least(F.size(hits), F.lit(12)).alias("n"), F.lit(-i).alias("turn"), F.lit(key).alias("key"),
+                F.lit(spec.get("label_zh") or key).alias("label_zh"), F.lit(spec.get("label_en") or key).alias("label_en"), F.slice(hits, 1, 12).alias("terms"),
+            )
+        )
+    return F.sort_array(F.filter(F.array(*made), lambda c: c["n"] > 0), asc=False)
 
 
 def source_tier(name: Column, kind: Column, tiers: list[tuple[int, str]], other: int = 3) -> Column:
-    """1 for official sources, else the first tier whose pattern is part of the name, else by kind."""
+    """1 for official sources, else the first tier with a pattern in the name, else by kind."""
+    kind = F.lower(F.coalesce(kind, F.lit("")))
     out = F.when(kind == "think_tank", 3).when(kind == "social", 4).otherwise(other)
-    for tier, pattern in reversed(tiers):
-        out = F.when(F.contains(F.lower(name), F.lit(pattern.lower())), tier).otherwise(out)
+    for tier, pattern in sorted(tiers, key=lambda t: t[0], reverse=True):
+        out = F.when(F.contains(F.lower(F.coalesce(name, F.lit(""))), F.lit(pattern.lower())), tier).otherwise(out)
     return F.when(kind == "official", 1).otherwise(out)
 
 
+def site_tier(name: Column, tiers: list[tuple[int, str]], other: int = 3) -> Column:
+    """The tier shown beside a source: by its name alone, tiers 1 to 3."""
+    return source_tier(name, F.lit(""), [t for t in tiers if t[0] <= 3], other)
+
+
 def lifecycle(resolved: Column, is_new: Column, age: Column, momentum: Column, hit: Column, worse: Column, new_sources: Column, before: Column, stale: Column) -> Column:
     """The first state that applies; age and stale are hours, before is the last run's state."""
     rising = (momentum >= 55) | hit | worse | (new_sources >= 2)
-    calm = (stale >= 36) | (momentum <= 20)
     return (
         F.when(resolved, "resolved").when(is_new & (age <= 36), "emerging").when(rising, "escalating")
-        .when(before.isin("emerging", "escalating") & ~calm, before).when(calm, "stabilizing").when(age <= 36, "emerging").otherwise("stabilizing")
+        .when((before == "emerging") & (age <= 24) & (stale <= 24), "emerging").when((before == "escalating") & (stale <= 12) & (momentum > 20), "escalating")
+        .when((stale >= 36) | (momentum <= 20), "stabilizing").when(age <= 24, "emerging").otherwise("stabilizing")
     )
 
 
+def evidence_status(news: Column, social: Column, families: Column, official: Column) -> Column:
+    """A word for what an event rests on."""
+    return F.when((social > 0) & (news == 0), F.when(families == 1, "苗头").otherwise("多源苗头")).when(official, "官方信号").when((news > 0) & (social > 0), "持续发展").otherwise("报道中")
+
+
+#: What is said of a lifecycle, and of other reasons to look now; {} stands for a number.
+_WHY = {
+    "zh": {"emerging": "近期首次进入事件池", "escalating": "正在升级或扩散", "stabilizing": "近期新增证据有限，进入趋稳观察", "resolved": "出现解决/恢复迹象", "new": "新增{}条独立信息链", "many": "已有{}条独立信息链", "official": "本轮首次出现官方证据", "scores": "新颖度{} / 动量{}", "risk": "{}信号", "none": "涉华异常信号"},
+    "en": {
+        "emerging": "newly entered the event pool", "escalating": "is escalating or spreading", "stabilizing": "has limited new evidence and is stabilizing", "resolved": "shows signs of resolution or recovery",
+        "new": "{} new independent source chain(s)", "many": "{} independent source chains", "official": "official evidence appeared for the first time", "scores": "novelty {} / momentum {}", "risk": "{} signal", "none": "China-related anomaly",
+    },
+}
+
+
+def why_now(lang: str, state: Column, risk: Column, new_sources: Column, sources: Column, official_added: Column, novelty: Column, momentum: Column) -> Column:
+    """A sentence in zh or en on why an event is worth a look now."""
+    said = _WHY[lang]
+    fill = lambda form, *cs: F.concat(*(x for pair in zip(map(F.lit, form.split("{}")), [*(c.cast("string") for c in cs), F.lit("")]) for x in pair))
+    life = F.create_map(*(F.lit(x) for k in ("emerging", "escalating", "stabilizing", "resolved") for x in (k, said[k])))
+    parts = [
+        F.when(F.coalesce(risk, F.lit("")) == "", said["none"]).otherwise(fill(said["risk"], risk)), F.try_element_at(life, state),
+        F.when(new_sources > 0, fill(said["new"], new_sources)).when(sources >= 2, fill(said["many"], sources)), F.when(official_added, said["official"]), fill(said["scores"], novelty, momentum),
+    ]
+    joint, end = ("；", "。") if lang == "zh" else ("; ", ".")
+    return F.concat(F.concat_ws(joint, *parts), F.lit(end))
+
+
+#: The English reason of an event by the relation of its first evidence.
+_REASONS = {
+    "direct": "Direct China-related signal involving China, Chinese entities, personnel, Taiwan, or other explicit China-linked subjects.",
+    "indirect": "Indirect China-related signal linked to a known Chinese overseas company, project, asset, or supply-chain exposure.",
+    "": "Potential China-related signal: a material political, economic, industrial, or security change in an area with identified Chinese interests.",
+}
+
+
+def english_reason(relation: Column, countries: Column, entities: Column) -> Column:
+    """The English reason where no translation is at hand."""
+    base = F.when(relation == "direct", _REASONS["direct"]).when(relation == "indirect", _REASONS["indirect"]).otherwise(_REASONS[""])
+    listed = lambda c, n, head: F.when(F.size(c) > 0, F.concat(F.lit(head), F.array_join(F.slice(c, 1, n), ", "), F.lit(".")))
+    return F.concat_ws(" ", base, listed(countries, 3, "Area: "), listed(entities, 4, "Linked entities/projects: "))
+
+
+def batch_status(ok: Column, failed: Column, skipped: Column, last_status: Column) -> Column:
+    """What the batches of a run come to."""
+    return F.when((ok > 0) & (failed + skipped > 0), "partial").when(ok > 0, "ok").otherwise(F.coalesce(F.nullif(last_status, F.lit("")), F.lit("empty")))
+
+
 def diagnose(log: Column, code: Column, rows: Column, needles: list[tuple[str, list[str]]]) -> Column:
     """A crawler's outcome: the first group of needles found in its log, else by exit code and rows."""
     out = F.when(code != 0, "process_failed").when(rows == 0, "empty").otherwise("ok")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import fixed
+
 
 def _whole(c: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), F.bround(c, 0).cast("int")))
@@ -25,7 +27,8 @@ def novelty(hours: Column) -> Column:
 
 
 def signal_priority(relevance: Column, severity: Column, hours: Column) -> Column:
-    fresh = F.greatest(F.lit(0.0), 100 - 4 * hours)
+    """Weighted whole number; freshness falls by 4 an hour from 100, and is 100 for later times and without one."""
+    fresh = F.coalesce(_whole(100 - 4 * F.greatest(F.lit(0.0), hours)), F.lit(100))
     return _whole(0.50 * relevance + 0.35 * severity + 0.15 * fresh)
 
 
@@ -86,15 +89,37 @@ def signal_confidence(given: Column, verified: Column, media: Column) -> Column:
     return F.greatest(F.lit(5), F.least(F.lit(95), guess)).cast("int")
 
 
-def momentum(is_new: Column, sources: Column, more_sources: Column, more_events: Column, official: Column, worse: Column, escalates: Column, recent: Column) -> Column:
+def momentum(is_new: Column, sources: Column, more_sources: Column, more_evidence: Column, official: Column, worse: Column, escalates: Column, recent: Column) -> Column:
     """Of new events by their sources; of known ones by what changed, 12 if nothing did."""
     flag = lambda c, n: F.when(c, n).otherwise(0)
-    gain = F.least(F.lit(30), 15 * F.greatest(F.lit(0), more_sources)) + F.least(F.lit(22), 5 * F.greatest(F.lit(0), more_events)) + flag(official, 14) + flag(worse, 12) + flag(escalates, 10)
-    known = F.when(gain == 0, 12).otherwise(18 + gain + flag(recent, 8))
-    return _whole(F.when(is_new, 55 + F.least(F.lit(15), 8 * (sources - 1)) + flag(escalates, 10)).otherwise(known))
+    extra = lambda c, each, most: F.least(F.lit(most), each * F.greatest(F.lit(0), c))
+    spread = (more_sources > 0) | (more_evidence > 0)
+    gain = extra(more_sources, 15, 30) + extra(more_evidence, 5, 22) + flag(official, 14) + flag(worse, 12) + flag(escalates, 10)
+    known = F.when(gain == 0, 12).otherwise(18 + gain + flag(recent & spread, 8))
+    return _whole(F.when(is_new, 55 + extra(sources - 1, 8, 15) + flag(escalates, 10)).otherwise(known))
+
+
+def engagement(counts: Column, keys: list[str] = fixed.ENGAGEMENT) -> Column:
+    """min(8, whole part of 3 * log10(total + 1)) of a map of counts, of which the named ones are added up."""
+    total = F.lit(0).cast("bigint")
+    for key in keys:
+        total = total + F.coalesce(F.try_element_at(counts, F.lit(key)).cast("bigint"), F.lit(0))
+    return F.least(F.lit(8), (F.log10(total + 1) * 3).cast("int"))
 
 
-def engagement(counts: Column) -> Column:
-    """min(8, whole part of 3 * log10(total + 1)) of a map of counts."""
-    total = F.aggregate(F.map_values(counts), F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0)))
-    return F.least(F.lit(8), (F.log10(total + 1) * 3).cast("int"))
+def tier_score(tier: Column, other: int = 50, scores: dict[int, int] = fixed.TIER_SCORES) -> Column:
+    out = F.lit(other)
+    for t, n in scores.items():
+        out = F.when(tier == t, n).otherwise(out)
+    return out
+
+
+def evidence_score(social: Column, confidence: Column, media: Column, counts: Column, tier: Column) -> Column:
+    """Of a social post its confidence (35 without one) with media and engagement, 5 to 90; of news by the source's tier."""
+    said = F.coalesce(F.nullif(confidence.cast("int"), F.lit(0)), F.lit(35)) + F.least(F.lit(12), 4 * F.coalesce(media.cast("int"), F.lit(0))) + F.coalesce(engagement(counts), F.lit(0))
+    return F.when(social, F.greatest(F.lit(5), F.least(F.lit(90), said))).otherwise(tier_score(tier)).cast("int")
+
+
+def representative(official: Column, news: Column, tier: Column, severity: Column, fresh: Column) -> Column:
+    """What makes a row stand for its event: its origin, the source's tier, severity and freshness."""
+    return F.when(official, 20).when(news, 12).otherwise(0) + (5 - tier) * 10 + severity + fresh

@@ -7,6 +7,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import fixed
+
+#: The characters that count as Chinese, Japanese or Korean.
+CJK = "\u3400-\u9fff"
+
 
 def compact_text(c: Column, most: int = 1200) -> Column:
     """White space collapsed, trimmed, cut to `most` characters."""
@@ -18,12 +23,40 @@ def record_id(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 20)
 
 
+def _bounded(words: str) -> str:
+    """A pattern of the words between characters that are neither Latin letters nor digits."""
+    return "(?<![a-z0-9])" + words + "(?![a-z0-9])"
+
+
 def term_hit(text: Column, term: str) -> Column:
-    """Whether a term occurs: Latin terms stand between non-alphanumerics with any inner spaces, others as they are."""
-    term = term.casefold()
-    if re.fullmatch(r"[a-z0-9 ]+", term):
-        return F.lower(text).rlike("(^|[^a-z0-9])" + r"\s+".join(map(re.escape, term.split())) + "([^a-z0-9]|$)")
-    return F.lower(text).contains(term)
+    """Whether a term occurs: plain Latin terms stand alone, with any inner spaces; others count anywhere. An empty one never does."""
+    term = str(term or "").strip().casefold()
+    if not term:
+        return F.lit(False)
+    low = F.lower(F.coalesce(text, F.lit("")))
+    if re.fullmatch(r"[a-z0-9 ._\-/]+", term):
+        return low.rlike(_bounded(r"\s+".join(map(re.escape, term.split(" ")))))
+    return F.contains(low, F.lit(term))
+
+
+def any_term(text: Column, terms: list[str]) -> Column:
+    """Whether any of the terms occurs."""
+    out = F.lit(False)
+    for term in terms:
+        out = out | term_hit(text, term)
+    return out
+
+
+def has_alias(text: Column, alias: str) -> Column:
+    """Whether an alias of two characters or more occurs in a lower-case text; one with Latin letters must stand alone."""
+    alias = alias.strip().lower()
+    if len(alias) < 2:
+        return F.lit(False)
+    return text.rlike(_bounded(re.escape(alias))) if re.search("[a-z]", alias) else F.contains(text, F.lit(alias))
+
+
+def has_cjk(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")).rlike(f"[{CJK}]")
 
 
 def matched_terms(text: Column, terms: list[str]) -> Column:
@@ -36,7 +69,15 @@ def latin_tokens(text: Column, stop: list[str] = []) -> Column:
     return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9][a-z0-9'\\-]{2,}"), F.lit(0))), F.array(*map(F.lit, stop)).cast("array<string>"))
 
 
-def severity(text: Column, patterns: list[tuple[str, int]], least: int = 25) -> Column:
+def severity_label(text: Column, rules: list[tuple[str, int, str]] = fixed.SEVERITIES, least: str = "low") -> Column:
+    """The label of the first pattern that matches, in any case of letters."""
+    out = F.lit(least)
+    for label, _, pattern in reversed(rules):
+        out = F.when(F.coalesce(text, F.lit("")).rlike(f"(?i){pattern}"), label).otherwise(out)
+    return out
+
+
+def severity(text: Column, patterns: list[tuple[str, int]] = [(p, n) for _, n, p in fixed.SEVERITIES], least: int = 25) -> Column:
     """The score of the first pattern that matches."""
     out = F.lit(least)
     for pattern, score in reversed(patterns):
@@ -47,23 +88,34 @@ def severity(text: Column, patterns: list[tuple[str, int]], least: int = 25) ->
 def normalize_text(text: Column) -> Column:
     """Lower case; URLs and everything but Latin letters, digits, CJK and a few signs become spaces."""
     bare = F.regexp_replace(F.lower(text), r"https?://\S+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^a-z0-9一-鿿%$€£¥ ]+", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, rf"[^a-z0-9{CJK}%$€£¥]+", " "), " +", " "))
 
 
 def cjk_tokens(text: Column) -> Column:
     """Of each run of two or more CJK characters: the run if it has at most four, and its 2- and 3-grams."""
     grams = lambda run, n: F.when(F.length(run) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - n + 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     whole = lambda run: F.when(F.length(run) <= 4, F.array(run)).otherwise(F.array().cast("array<string>"))
-    runs = F.regexp_extract_all(text, F.lit(r"[一-鿿]{2,}"), F.lit(0))
+    runs = F.regexp_extract_all(text, F.lit(rf"[{CJK}]{{2,}}"), F.lit(0))
     return F.array_distinct(F.flatten(F.transform(runs, lambda run: F.concat(whole(run), grams(run, 2), grams(run, 3)))))
 
 
-def text_tokens(text: Column, stop: list[str] = []) -> Column:
-    """Latin and CJK tokens together."""
-    return F.array_union(latin_tokens(text, stop), cjk_tokens(text))
+def concept_tokens(text: Column, concepts: dict[str, str] = fixed.CONCEPTS, whole: bool = True) -> Column:
+    """Tokens that the concepts' phrases in a lower-case text stand for; with `whole` also the text's own tokens of that vocabulary."""
+    empty = F.array().cast("array<string>")
+    if not concepts:
+        return empty
+    table = F.array(*(F.struct(F.lit(p).alias("p"), F.array(*map(F.lit, t.split())).alias("t")) for p, t in concepts.items()))
+    found = F.flatten(F.transform(F.filter(table, lambda c: F.contains(text, c["p"])), lambda c: c["t"]))
+    own = F.array_intersect(latin_tokens(text), F.array(*map(F.lit, sorted({t for v in concepts.values() for t in v.split()})))) if whole else empty
+    return F.array_distinct(F.concat(own, found))
+
 
+def text_tokens(text: Column, stop: list[str] = fixed.STOP_WORDS, concepts: dict[str, str] = fixed.CONCEPTS) -> Column:
+    """Latin and CJK tokens, and those that phrases of the other language stand for."""
+    return F.array_union(F.array_union(latin_tokens(text, stop), cjk_tokens(text)), concept_tokens(text, concepts, whole=False))
 
-def category(text: Column, rules: list[tuple[str, str]], other: str) -> Column:
+
+def category(text: Column, rules: list[tuple[str, str]] = fixed.CATEGORIES, other: str = fixed.OTHER_CATEGORY) -> Column:
     """The name of the first rule whose pattern occurs."""
     out = F.lit(other)
     for name, pattern in reversed(rules):
@@ -72,13 +124,22 @@ def category(text: Column, rules: list[tuple[str, str]], other: str) -> Column:
 
 
 def first_of(*columns: Column) -> Column:
-    """The first value that is neither null nor empty."""
-    return F.coalesce(*(F.nullif(c.cast("string"), F.lit("")) for c in columns))
+    """The first value, as a string, that is neither null nor an empty string, list or map."""
+    held = lambda c: F.when(~c.cast("string").isin("", "[]", "{}"), c.cast("string"))
+    return F.coalesce(*map(held, columns))
 
 
 def to_int(c: Column) -> Column:
-    """The number left after all but digits, points and minus signs are gone; 0 if there is none."""
-    return F.coalesce(F.regexp_replace(c.cast("string"), r"[^0-9.\-]", "").try_cast("double").try_cast("bigint"), F.lit(0))
+    """The whole part of a number; of a string the number left after all but digits, points and minus signs are gone; 0 if there is none."""
+    bare = F.when(F.typeof(c) == "string", F.regexp_replace(c.cast("string"), r"[^0-9.\-]", "")).otherwise(c.cast("string"))
+    return F.coalesce(bare.try_cast("double").try_cast("bigint"), F.lit(0))
+
+
+def parse_time(c: Column) -> Column:
+    """A timestamp from ISO text or a mail date, UTC where no zone is given; null for anything else."""
+    bare = F.regexp_replace(F.trim(c.cast("string")), "^[A-Za-z]{3},\\s*", "")
+    forms = (F.try_to_timestamp(bare, F.lit(f)) for f in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy"))
+    return F.coalesce(F.try_to_timestamp(bare), *forms)
 
 
 def iso_time(c: Column) -> Column:
@@ -88,13 +149,89 @@ def iso_time(c: Column) -> Column:
 
 
 def split_keywords(c: Column) -> Column:
-    """Comma-separated words, trimmed, without empty ones and repeats."""
-    return F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != ""))
+    """Comma-separated words, trimmed, without empty ones; of spellings that differ in case or inner spaces alone the first."""
+    words = F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
+    bare = lambda x: F.lower(F.regexp_replace(x, "\\s+", " "))
+    return F.filter(words, lambda x, i: F.array_position(F.transform(words, bare), bare(x)) == i + 1)
+
+
+def merge_terms(*lists: Column) -> Column:
+    """The trimmed terms of all lists in order, without empty ones; of spellings that differ in case alone the first."""
+    words = F.filter(F.transform(F.flatten(F.array(*lists)), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(words, lambda x, i: F.array_position(F.transform(words, lambda y: F.lower(y)), F.lower(x)) == i + 1)
 
 
 def host(url: Column) -> Column:
-    """Lower-case host without a leading www."""
-    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)), r"^www\.", "")
+    """Lower-case network location, with any port, without a leading www."""
+    return F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), r"^www\.", "")
+
+
+def publisher_family(name: Column, platform: Column, url: Column, families: dict[str, list[str]] = {}) -> Column:
+    """The first family with a pattern in the name, else platform:author, else the host, else the name in one word, else unknown."""
+    low = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    where = F.lower(F.trim(F.coalesce(platform, F.lit(""))))
+    word = lambda c, signs: F.substring(F.regexp_replace(c, signs, "-"), 1, 80)
+    author = F.concat(where, F.lit(":"), word(F.when(low == "", "unknown").otherwise(low), "\\s+"))
+    plain = F.coalesce(F.nullif(host(url), F.lit("")), F.nullif(word(low, "[^\\p{L}\\p{N}_]+"), F.lit("")), F.lit("unknown"))
+    out = F.when(where != "", author).otherwise(plain)
+    for family, patterns in reversed(families.items()):
+        hit = F.lit(False)
+        for p in patterns:
+            hit = hit | F.contains(low, F.lit(p.lower()))
+        out = F.when(hit, family.lower()).otherwise(out)
+    return out
+
+
+def canonical_url(url: Column, tracking: list[str] = fixed.TRACKING) -> Column:
+    """Scheme and host in small letters, no fragment, no tracking parameters, no repeated or last slashes in the path.
+
+    What remains of the query is decoded and encoded again. A text without scheme and host is only trimmed.
+    """
+    bare = F.trim(url)
+    part = lambda i: F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?", i)
+    path = F.regexp_replace(F.regexp_replace(part(3), "/{2,}", "/"), "/+$", "")
+    pair = lambda p: F.array(F.regexp_extract(p, "^([^=]*)", 1), F.regexp_extract(p, "^[^=]*=(.*)$", 1))
+    again = lambda c: F.replace(F.replace(F.url_encode(F.coalesce(F.try_url_decode(c), c)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    said = F.filter(F.split(part(4), "&"), lambda p: p != "")
+    kept = F.filter(F.transform(said, pair), lambda p: ~F.lower(F.coalesce(F.try_url_decode(p[0]), p[0])).isin(tracking))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(again(p[0]), F.lit("="), again(p[1]))), "&")
+    whole = F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    return F.when(part(2) == "", bare).otherwise(whole)
+
+
+def event_text(title: Column, text: Column, snippet: Column) -> Column:
+    """The first of the three that is not empty, trimmed."""
+    return F.trim(F.coalesce(*(F.nullif(c, F.lit("")) for c in (title, text, snippet)), F.lit("")))
+
+
+def event_id(title: Column, first_seen: Column) -> Column:
+    """20 hex digits from the normalized title and the day first seen."""
+    return record_id(F.concat(normalize_text(title), F.date_format(first_seen, "yyyy-MM-dd")))
+
+
+def cache_key(text: Column, target: Column) -> Column:
+    """The key of a translation: a hash of the target language and the text."""
+    return F.sha2(F.concat(target, F.lit("\0"), text), 256)
+
+
+def exception_line(log: Column, starts: list[str] = fixed.EXCEPTIONS, most: int = 700) -> Column:
+    """The last line that begins like an exception, else the last line with anything in it, else nothing."""
+    lines = F.filter(F.transform(F.split(F.coalesce(log, F.lit("")), "\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
+    told = F.filter(lines, lambda x: x.rlike("^(" + "|".join(map(re.escape, starts)) + ")"))
+    return F.substring(F.coalesce(F.try_element_at(told, F.lit(-1)), F.try_element_at(lines, F.lit(-1)), F.lit("")), 1, most)
+
+
+def json_array(answer: Column, schema: str) -> Column:
+    """The JSON array between the first [ and the last ] of a text, code fences and all else around it ignored; null if it does not parse."""
+    return F.from_json(F.regexp_extract(answer, r"(?s)(\[.*\])", 1), schema)
+
+
+def page_text(html: Column) -> Column:
+    """The text of simple HTML: tags and scripts gone, common references decoded, white space collapsed."""
+    out = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), "<[^>]*>", " ")
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        out = F.replace(out, F.lit(name), F.lit(sign))
+    return F.trim(F.regexp_replace(out, "\\s+", " "))
 
 
 def scrub(c: Column, pattern: str) -> Column:

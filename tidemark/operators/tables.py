@@ -44,3 +44,34 @@ def top_of_each(df: DataFrame, key: str, most: int, *order: Column) -> DataFrame
     """The first `most` rows of each key in the order."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return df.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")
+
+
+def unseen(new: DataFrame, stored: DataFrame, key: str, *order: Column) -> DataFrame:
+    """Rows whose key is not stored yet, the first of each key in the order."""
+    return first_wins(new.join(stored.select(key).distinct(), key, "left_anti"), key, *order)
+
+
+def unseen_or_nameless(new: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Rows without a key, and those whose key is not stored."""
+    named = new.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
+    return new.filter(F.col(key).isNull() | (F.col(key).cast("string") == "")).unionByName(named.join(stored.select(key).distinct(), key, "left_anti").select(*new.columns))
+
+
+def replace_collector(old: DataFrame, new: DataFrame, column: str, name: str) -> DataFrame:
+    """All rows but those of a collector, and its new ones."""
+    return old.filter(~F.col(column).eqNullSafe(F.lit(name))).unionByName(new, allowMissingColumns=True)
+
+
+def store_key(*columns: Column) -> Column:
+    """The first of an id, a canonical URL and a URL that is there."""
+    return F.coalesce(*(F.nullif(c.cast("string"), F.lit("")) for c in columns))
+
+
+def newest(df: DataFrame, at: Column, most: int, *ties: Column) -> DataFrame:
+    """The newest rows, as by their ISO times read as text; undated ones last."""
+    return df.orderBy(F.desc(F.coalesce(at.cast("string"), F.lit(""))), *ties).limit(most)
+
+
+def numbered_batches(df: DataFrame, size: int, *order: Column) -> DataFrame:
+    """Rows with the number of their batch of `size`, from 0. The order is global: for lists of queries, not for large tables."""
+    return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / max(1, size)).cast("int"))

@@ -11,6 +11,7 @@ from ..streaming import feeds
 
 _NOW = "2024-01-20 00:00:00"
 _LEXICON = ["the", "de la", "nicht", "%%%"]
+_TERMS = [*_LEXICON, "e.", "", "in-"]
 _CATEGORIES = [("secrets", "(password|secret|token)"), ("german", "nicht|sich"), ("french", "pour|dans")]
 _PATTERNS = [("(password|secret)", 100), ("http", 75), ("[0-9]{3}", 50)]
 
@@ -25,7 +26,7 @@ def _now():
 
 def c1_term_hit(spark, sf_dir):
     t = F.col("text")
-    return _read(spark, sf_dir, "documents").select("doc_id", *(text.term_hit(t, w).alias(f"hit{i}") for i, w in enumerate(_LEXICON)))
+    return _read(spark, sf_dir, "documents").select("doc_id", *(text.term_hit(t, w).alias(f"hit{i}") for i, w in enumerate(_TERMS)))
 
 
 def c3_matched_terms(spark, sf_dir):
@@ -71,7 +72,7 @@ def d2_normalize_text(spark, sf_dir):
 
 
 def d7_to_int(spark, sf_dir):
-    return _read(spark, sf_dir, "orders").select("o_orderkey", text.to_int(F.col("o_orderpriority")).alias("n"))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", text.to_int(F.col("o_totalprice")).alias("n"), text.to_int(F.date_format("o_orderdate", "yyyy/MM/dd")).alias("day"), text.to_int(F.col("o_orderpriority")).alias("none"))
 
 
 def d10_latin_tokens(spark, sf_dir):
@@ -84,8 +85,9 @@ def e2_category(spark, sf_dir):
 
 def e6_relevance(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
-    told = rules.relevance_decision(F.col("text"), ["that"], ["with"], ["pour", "nicht"], ["para"], ["%%%"], text.severity(F.col("text"), _PATTERNS))
-    return docs.select("doc_id", told.alias("d")).select("doc_id", "d.score", "d.accepted")
+    things = text.matched_terms(F.col("text"), ["with"])
+    told = rules.relevance_decision(F.col("text"), ["that"], ["pour", "nicht"], ["para"], ["%%%"], text.severity(F.col("text"), _PATTERNS), things, F.array(F.col("source")))
+    return docs.select("doc_id", told.alias("d")).select("doc_id", "d.score", "d.accepted", "d.relation")
 
 
 def e9_source_tier(spark, sf_dir):
@@ -97,14 +99,13 @@ def e11_host(spark, sf_dir):
 
 
 def f1_anti_join(spark, sf_dir):
-    return _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "orders").filter("o_orderdate < '1995-06-01'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Documents that no label covers."""
+    return tables.unseen(_read(spark, sf_dir, "documents").select("doc_id", "source"), _read(spark, sf_dir, "labels"), "doc_id", F.asc("source")).select("doc_id", "source")
 
 
-def f6_token_pairs(spark, sf_dir):
-    parts = _read(spark, sf_dir, "part").select("p_brand", text.latin_tokens(F.col("p_name")).alias("tokens"), "p_partkey").filter("p_size < 4")
-    one = parts.select(F.col("p_partkey").alias("a"), F.col("p_brand"), F.col("tokens").alias("ta"))
-    two = parts.select(F.col("p_partkey").alias("b"), F.col("p_brand"), F.col("tokens").alias("tb"))
-    return one.join(two, "p_brand").filter("a < b").select("a", "b", similarity.token_score(F.col("ta"), F.col("tb")).alias("score"))
+def f6_similar_pairs(spark, sf_dir):
+    """Similar pairs of all page titles, which carry no time: all are of one hour."""
+    return similarity.similar_pairs(_titles(spark, sf_dir))
 
 
 def g4_conversation_merge(spark, sf_dir):
@@ -133,18 +134,22 @@ def m1_tumbling_counts(spark, sf_dir):
     return feeds.tumbling_counts(_read(spark, sf_dir, "events"), "ts", "event_type").select(F.date_format("starts", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-def k5_clusters(spark, sf_dir):
-    """Clusters of short page titles, which carry no time: all are of one hour."""
+def _titles(spark, sf_dir):
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     pages = _read(spark, sf_dir, "pages").select("page_id", title.alias("title"), F.lit(_NOW).cast("timestamp").alias("at"))
-    return similarity.clusters(similarity.prepared(pages, "page_id", "title", "at"))
+    return similarity.prepared(pages, "page_id", "title", "at")
+
+
+def k5_clusters(spark, sf_dir):
+    """Clusters of short page titles, which carry no time: all are of one hour."""
+    return similarity.clusters(_titles(spark, sf_dir))
 
 
-QUERIES = (c1_term_hit, c3_matched_terms, c6_active_window, d8_record_id, e1_severity, h3_novelty, i2_diverse_top, j2_last_wins, j3_merge_by_id, b4_source_summary, d2_normalize_text, d7_to_int, d10_latin_tokens, e2_category, e6_relevance, e9_source_tier, e11_host, f1_anti_join, f6_token_pairs, g4_conversation_merge, h7_priority, i4_source_top, j1_first_wins, m1_tumbling_counts, k5_clusters)
+QUERIES = (c1_term_hit, c3_matched_terms, c6_active_window, d8_record_id, e1_severity, h3_novelty, i2_diverse_top, j2_last_wins, j3_merge_by_id, b4_source_summary, d2_normalize_text, d7_to_int, d10_latin_tokens, e2_category, e6_relevance, e9_source_tier, e11_host, f1_anti_join, f6_similar_pairs, g4_conversation_merge, h7_priority, i4_source_top, j1_first_wins, m1_tumbling_counts, k5_clusters)
 
 _BOUNDED = "regexp_matches(lower(text), '(^|[^a-z0-9]){}([^a-z0-9]|$)')"
 SQL = {
-    "c1_term_hit": f"SELECT doc_id, {_BOUNDED.format('the')} AS hit0, {_BOUNDED.format('de' + chr(92) + 's+la')} AS hit1, {_BOUNDED.format('nicht')} AS hit2, contains(lower(text), '%%%') AS hit3 FROM documents",
+    "c1_term_hit": f"SELECT doc_id, {_BOUNDED.format('the')} AS hit0, {_BOUNDED.format('de' + chr(92) + 's+la')} AS hit1, {_BOUNDED.format('nicht')} AS hit2, contains(lower(text), '%%%') AS hit3, {_BOUNDED.format('e[.]')} AS hit4, false AS hit5, {_BOUNDED.format('in-')} AS hit6 FROM documents",
     "c3_matched_terms": "SELECT doc_id, array_to_string(list_filter(['the', 'de la', 'nicht', '%%%'], lambda t: contains(lower(text), t)), '|') AS terms FROM documents",
     "c6_active_window": f"SELECT event_id, user_id, event_type FROM events WHERE ts >= TIMESTAMP '{_NOW}' - INTERVAL 7 DAYS",
     "d8_record_id": "SELECT doc_id, substr(sha256(text), 1, 20) AS record_id FROM documents",
@@ -154,22 +159,21 @@ SQL = {
     "j2_last_wins": "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "j3_merge_by_id": f"SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '{_NOW}' - INTERVAL 14 DAYS ORDER BY ts DESC, event_id LIMIT 500",
     "b4_source_summary": "SELECT 'source' AS dimension, source AS value, count(*) AS n FROM documents GROUP BY source UNION ALL SELECT 'lang', lang, count(*) FROM documents GROUP BY lang",
-    "d2_normalize_text": r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\S+', ' ', 'g'), '[^a-z0-9一-鿿%$€£¥ ]+', ' ', 'g'), ' +', ' ', 'g')) AS plain FROM documents",
-    "d7_to_int": "SELECT o_orderkey, coalesce(CAST(trunc(try_cast(regexp_replace(o_orderpriority, '[^0-9.-]', '', 'g') AS DOUBLE)) AS BIGINT), 0) AS n FROM orders",
+    "d2_normalize_text": r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\S+', ' ', 'g'), '[^a-z0-9㐀-鿿%$€£¥]+', ' ', 'g'), ' +', ' ', 'g')) AS plain FROM documents",
+    "d7_to_int": "SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS n, CAST(strftime(o_orderdate, '%Y%m%d') AS BIGINT) AS day, CAST(0 AS BIGINT) AS none FROM orders",
     "d10_latin_tokens": r"SELECT doc_id, CAST(len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''\-]{2,}')), lambda t: t NOT IN ('that', 'with'))) AS INTEGER) AS n_tokens FROM documents",
     "e2_category": "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'password|secret|token') THEN 'secrets' WHEN regexp_matches(lower(text), 'nicht|sich') THEN 'german' WHEN regexp_matches(lower(text), 'pour|dans') THEN 'french' ELSE 'other' END AS category FROM documents",
     "e6_relevance": """WITH m AS (SELECT doc_id, lower(text) AS t FROM documents),
         f AS (SELECT doc_id, contains(t, 'that') AS a, contains(t, 'with') AS e, contains(t, 'pour') OR contains(t, 'nicht') AS v, contains(t, 'para') AS s, contains(t, '%%%') AS n,
             CASE WHEN regexp_matches(t, '(password|secret)') THEN 100 WHEN contains(t, 'http') THEN 75 WHEN regexp_matches(t, '[0-9]{3}') THEN 50 ELSE 25 END AS sev FROM m),
         g AS (SELECT doc_id, greatest(0, least(100, 38 * a::INT + 28 * e::INT + 34 * v::INT + 14 * s::INT + CASE WHEN sev >= 75 THEN 10 WHEN sev >= 50 THEN 5 ELSE 0 END
-            + CASE WHEN n AND NOT v THEN -48 WHEN n THEN -15 ELSE 0 END + CASE WHEN a AND NOT e AND NOT v AND NOT s THEN -25 ELSE 0 END + CASE WHEN NOT a AND NOT e THEN -20 ELSE 0 END)) AS score FROM f)
-        SELECT doc_id, score, score >= 55 AS accepted FROM g""",
+            + CASE WHEN n AND NOT v THEN -48 WHEN n THEN -15 ELSE 0 END + CASE WHEN a AND NOT e AND NOT v THEN -25 ELSE 0 END + CASE WHEN NOT a AND NOT e THEN -20 ELSE 0 END)) AS score, a, e, v, s FROM f),
+        r AS (SELECT doc_id, score, CASE WHEN e AND v THEN CASE WHEN score >= 55 THEN 'indirect' ELSE 'unrelated' END WHEN a AND v THEN CASE WHEN score >= 55 THEN 'direct' ELSE 'unrelated' END
+            WHEN v AND s AND score >= 60 THEN 'potential' ELSE 'unrelated' END AS relation FROM g)
+        SELECT doc_id, score, relation <> 'unrelated' AS accepted, relation FROM r""",
     "e9_source_tier": "SELECT doc_id, CASE WHEN contains(source, 'src0') THEN 1 WHEN contains(source, 'src1') THEN 2 ELSE 3 END AS tier FROM documents",
-    "e11_host": "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '^www[.]', '') AS host FROM pages",
-    "f1_anti_join": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate < TIMESTAMP '1995-06-01')",
-    "f6_token_pairs": r"""WITH p AS (SELECT p_partkey, p_brand, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9][a-z0-9''\-]{2,}')) AS t FROM part WHERE p_size < 4),
-        q AS (SELECT x.p_partkey AS a, y.p_partkey AS b, len(list_intersect(x.t, y.t)) AS c, len(x.t) AS n, len(y.t) AS m FROM p x JOIN p y ON x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey)
-        SELECT a, b, CASE WHEN least(n, m) > 0 THEN 0.45::DOUBLE * c / (n + m - c) + 0.35::DOUBLE * c / least(n, m) ELSE 0 END AS score FROM q""",
+    "e11_host": "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www[.]', '') AS host FROM pages",
+    "f1_anti_join": "SELECT doc_id, source FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)",
     "g4_conversation_merge": """WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS o, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC) AS b FROM conversations)
         SELECT conv_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles, sha256(string_agg(text, ' ' ORDER BY o) FILTER (o <= 12)) AS story,
             CAST(round_even(0.78::DOUBLE * max(length(text)) + 0.22::DOUBLE * (sum(length(text)) FILTER (b <= 3)::DOUBLE / count(*) FILTER (b <= 3)), 0) AS INTEGER) AS relevance FROM c GROUP BY conv_id""",
@@ -181,3 +185,8 @@ SQL = {
     "j1_first_wins": "SELECT min(doc_id) AS doc_id, sha256(text) AS sum FROM documents GROUP BY sha256(text)",
     "m1_tumbling_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
+
+from . import more  # noqa: E402
+
+QUERIES = (*QUERIES, *more.QUERIES)
+SQL = {**SQL, **more.SQL}

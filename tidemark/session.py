@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -28,6 +28,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """The rows in the shared folder of spark.checkpoint.dir, without what led there: for tables that a plan reads often.
+
+    Where the setting is missing, a temporary folder in local mode and an error on a cluster.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     return (
