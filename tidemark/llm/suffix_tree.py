@@ -40,7 +40,7 @@ _END, _BEFORE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of text in a block.
-_BLOCK = 16 << 20
+_BLOCK = 12 << 20
 
 _ASKED = "bucket int, block bigint, split boolean, contexts binary, sizes binary, logs binary, grams binary, counts binary"
 _TOLD = "block bigint, split boolean, bucket int, n binary, total binary, kinds binary, context bigint, tokens bigint, types bigint, ncs double, logs double, kept bigint"
@@ -110,11 +110,11 @@ class State:
     def __init__(self, row: dict, settings: Settings):
         self.s = settings
         self.words = np.frombuffer(row["words"], np.uint64)
-        self.place = _unpacked(row["places"], row["tokens"])
+        self.place = _unpacked(row["places"], row["tokens"]).astype(np.int32)
         self.first = np.frombuffer(row["first"], "<i8")
         self.held = np.frombuffer(row["held_out"], bool)
         sizes = np.diff(self.first)
-        self.at = np.arange(row["tokens"]) - np.repeat(self.first[:-1], sizes)
+        self.at = (np.arange(row["tokens"], dtype=np.int32) - np.repeat(self.first[:-1].astype(np.int32), sizes)).astype(np.int32)
         self.learnt = np.repeat(~self.held, sizes)
         self.bucket0 = (self.words % np.uint64(settings.buckets)).astype(np.int32)
         self.order0 = np.argsort(self.bucket0, kind="stable")
@@ -129,40 +129,47 @@ class State:
         return [(int(bucket[a]), False, none.astype(np.uint64), none, none, self.words[self.order0[a:z]], counts[self.order0[a:z]]) for a, z in zip(edges[:-1], edges[1:])]
 
     def take_words(self, n: np.ndarray) -> None:
-        count = np.empty(len(self.words), np.int64)
-        count[self.order0] = n
-        self.count = self.known = count[self.place]
-        self.p = (self.count + self.s.alpha) / (self.s.total + self.s.alpha * (self.s.types + 1))
-        self.base = self.p
-        word = self.words[self.place]
-        self.word, self.prev = word, np.concatenate(([_BEFORE], word[:-1])).astype(np.uint64)
-        self.prev[self.first[:-1]] = _BEFORE
-        self.context = np.zeros(len(word), np.uint64)
-        self.open = np.ones(len(word), bool)
+        self.known = np.empty(len(self.words), np.int64)
+        self.known[self.order0] = n
+        self.base = (self.known + self.s.alpha) / (self.s.total + self.s.alpha * (self.s.types + 1))
+        self.count, self.p = self.known[self.place], self.base[self.place]
+        self.context = np.zeros(len(self.place), np.uint64)
+        self.open = np.ones(len(self.place), bool)
         self.level = 0
 
+    def before(self) -> np.ndarray:
+        """The word before each token."""
+        prev = np.empty(len(self.place), np.uint64)
+        prev[1:] = self.words[self.place[:-1]]
+        prev[self.first[:-1]] = _BEFORE
+        return prev
+
     def grow(self) -> None:
         """Contexts one word longer, and the distinct grams behind those to be looked at, in the order they are asked."""
         d = self.level + 1
-        before = np.concatenate(([0], self.count[:-1]))
-        longer = after(np.concatenate(([np.uint64(0)], self.context[:-1])).astype(np.uint64) if d > 1 else self.context, self.prev)
+        held = np.zeros(len(self.place), np.int64)
+        held[1:] = self.count[:-1]
         if d == 1:
-            before[self.first[:-1]] = self.s.learnt_docs
-        self.context = longer
-        self.idx = np.flatnonzero((self.at >= d - 1) & self.open & (before >= self.s.least))
-        context, held = longer[self.idx], before[self.idx]
-        code, grams = pd.factorize(after(context, self.word[self.idx]))
+            held[self.first[:-1]] = self.s.learnt_docs
+        else:
+            self.context[1:] = self.context[:-1].copy()
+        self.context = after(self.context, self.before())
+        self.idx = np.flatnonzero((self.at >= d - 1) & self.open & (held >= self.s.least)).astype(np.int32)
+        context, held = self.context[self.idx], held[self.idx]
+        code, grams = pd.factorize(after(context, self.words[self.place[self.idx]]))
         of = np.empty(len(grams), np.uint64)
         of[code] = context
         salts = np.empty(len(grams), np.int64)
         salts[code] = np.where(held > self.s.share, -(-held // self.s.share), 1)
+        del context, held
         spot = of + np.where(salts > 1, (grams >> np.uint64(7)) % salts.astype(np.uint64), np.uint64(0))
         bucket = (spot % np.uint64(self.s.buckets)).astype(np.int32)
         split = salts > 1
         order = np.lexsort((of, bucket, split))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         self.slot = rank[code]
+        del code, rank
         self.grams, self.of, self.bucket, self.split = grams[order], of[order], bucket[order], split[order]
         new = np.ones(len(order), bool)
         new[1:] = (self.of[1:] != self.of[:-1]) | (self.bucket[1:] != self.bucket[:-1]) | (self.split[1:] != self.split[:-1])
@@ -194,15 +201,13 @@ class State:
             hit = keys[at] == of if len(keys) else np.zeros(len(of), bool)
             total[runs] = np.where(hit, tokens[at], 0) if len(keys) else 0
             kinds[runs] = np.where(hit, types[at], 0) if len(keys) else 0
-        n, t, k = n[self.slot], total[self.run_of[self.slot]], kinds[self.run_of[self.slot]]
-        keep = t > 0
-        at = self.idx[keep]
-        self.p = self.p.copy()
-        self.p[at] = (n[keep] + k[keep] * self.p[at]) / (t[keep] + k[keep])
         self.count = np.zeros(len(self.p), np.int64)
-        self.count[self.idx] = n
+        self.count[self.idx] = n[self.slot]
         self.open = np.zeros(len(self.p), bool)
-        self.open[at] = True
+        self.open[self.idx] = total[self.run_of[self.slot]] > 0
+        slot = self.slot[self.open[self.idx]]
+        run = self.run_of[slot]
+        self.p[self.open] = (n[slot] + kinds[run] * self.p[self.open]) / (total[run] + kinds[run])
 
 
 def _replayed(block: pa.Table, answers: pa.Table | None, settings: Settings, levels: int) -> State:
@@ -317,7 +322,7 @@ def _scores(settings: Settings, levels: int, kind: str):
         doc = np.repeat(np.arange(len(sizes)), sizes)
         summed = lambda x: np.bincount(doc, x, len(sizes))
         held = state.held if state else np.zeros(0, bool)
-        known, base, score = (summed(x) for x in (state.known > 0, np.log10(state.base), np.log10(state.p))) if state else [np.zeros(0)] * 3
+        known, base, score = (summed(x) for x in ((state.known > 0)[state.place], np.log10(state.base)[state.place], np.log10(state.p))) if state else [np.zeros(0)] * 3
         return pa.table(
             {
                 "id": ids, "held_out": pa.array(held), "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(known.astype(np.int64)), "train_tokens": pa.array(np.full(len(sizes), settings.total), pa.int64()),
