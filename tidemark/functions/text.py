@@ -226,12 +226,31 @@ def json_array(answer: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(answer, r"(?s)(\[.*\])", 1), schema)
 
 
+def decoded(c: Column) -> Column:
+    """The common character references of a text replaced by what they stand for."""
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        c = F.replace(c, F.lit(name), F.lit(sign))
+    return c
+
+
 def page_text(html: Column) -> Column:
     """The text of simple HTML: tags and scripts gone, common references decoded, white space collapsed."""
     out = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), "<[^>]*>", " ")
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(out, "\\s+", " "))
+    return F.trim(F.regexp_replace(decoded(out), "\\s+", " "))
+
+
+def absolute_url(base: Column, href: Column) -> Column:
+    """The address that a link of a page stands for, with . and .. in its path resolved."""
+    part = lambda c, i: F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*):(//[^/?#]*)?([^?#]*)", i)
+    link = F.trim(href)
+    root, here = F.concat(part(base, 1), F.lit(":"), part(base, 2)), part(base, 3)
+    path, rest = F.regexp_extract(link, "^([^?#]*)", 1), F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.regexp_extract(here, "^(.*/)", 1), path))
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+    steps = F.aggregate(F.split(F.regexp_replace(whole, r"/(\.\.?)$", "/$1/"), "/"), F.array().cast("array<string>"), step)
+    flat = F.when(whole.contains("/."), F.array_join(steps, "/")).otherwise(whole)
+    joined = F.when(path == "", F.concat(root, here, F.when(rest.startswith("?"), rest).otherwise(F.concat(F.regexp_extract(base, r"(\?[^#]*)", 1), rest)))).otherwise(F.concat(root, flat, rest))
+    return F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(part(base, 1), F.lit(":"), link)).otherwise(joined)
 
 
 def scrub(c: Column, pattern: str) -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_wins(df: DataFrame, key: str, *order: Column) -> DataFrame:
-    """One row a key: the first in the order, which must be total for a fixed result."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+def first_wins(df: DataFrame, key: str | tuple[str, ...], *order: Column) -> DataFrame:
+    """One row a key, of one column or several: the first in the order, which must be total for a fixed result."""
+    place = F.row_number().over(Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*order))
     return df.withColumn("_place", place).filter("_place = 1").drop("_place")
 
 

@@ -186,7 +186,7 @@ SQL = {
     "m1_tumbling_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
 
-from . import more  # noqa: E402
+from . import intake, more  # noqa: E402
 
-QUERIES = (*QUERIES, *more.QUERIES)
-SQL = {**SQL, **more.SQL}
+QUERIES = (*QUERIES, *more.QUERIES, *intake.QUERIES)
+SQL = {**SQL, **more.SQL, **intake.SQL}
