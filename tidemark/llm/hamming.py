@@ -7,7 +7,7 @@ candidates are verified on whole codes. After round r every code within (r + 1)
 query is done when its kth distance is no more than that. At r = segment bits everything has been met.
 
 Neighbours are ordered by distance, then id; the query's own row is not its neighbour. Fewer than k other rows:
-all of them. Null vectors, and those of another length than most rows asked for, are neither found nor queries.
+all of them. Null vectors, and those with fewer dimensions than bits, are neither found nor queries.
 """
 
 from __future__ import annotations
