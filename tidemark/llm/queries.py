@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import hamming, html_extract, mixing, ngram_join, packing, quality, secrets, sharding, substring, suffix_tree
+from . import decontamination, hamming, html_extract, mixing, ngram_join, packing, quality, secrets, sharding, substring, suffix_tree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents")).drop("removed_spans")
 
 
-_QUERIES = (op1_ngram_jaccard_join, op2_html_extraction, op3_sharding, op4_secret_scans, op5_quality_rules, op6_source_mixing, op7_packing, op8_exact_topk, op9_lm_scoring, op10_substring_dedup)
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in windows of benchmark items."""
+    return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_QUERIES = (op1_ngram_jaccard_join, op2_html_extraction, op3_sharding, op4_secret_scans, op5_quality_rules, op6_source_mixing, op7_packing, op8_exact_topk, op9_lm_scoring, op10_substring_dedup, op11_decontamination)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -75,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": sharding.oracle(), "op8_exact_topk": hamming.ORACLE}
+    return {"op3_sharding": sharding.oracle(), "op8_exact_topk": hamming.ORACLE, "op11_decontamination": decontamination.ORACLE}
