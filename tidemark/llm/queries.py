@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import decontamination, hamming, html_extract, mixing, ngram_join, packing, quality, secrets, sharding, substring, suffix_tree
+from . import decontamination, divergence, hamming, html_extract, mixing, ngram_join, packing, quality, secrets, sharding, substring, suffix_tree, valid_time
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +72,17 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-_QUERIES = (op1_ngram_jaccard_join, op2_html_extraction, op3_sharding, op4_secret_scans, op5_quality_rules, op6_source_mixing, op7_packing, op8_exact_topk, op9_lm_scoring, op10_substring_dedup, op11_decontamination)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that stand out in each."""
+    return divergence.audit(_table(spark, sf_dir, "documents")).drop("p")
+
+
+def op13_valid_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales with their client's version at the time, and late changes."""
+    return valid_time.enrich(_table(spark, sf_dir, "sales"), _table(spark, sf_dir, "client_changes")).drop("client_id")
+
+
+_QUERIES = (op1_ngram_jaccard_join, op2_html_extraction, op3_sharding, op4_secret_scans, op5_quality_rules, op6_source_mixing, op7_packing, op8_exact_topk, op9_lm_scoring, op10_substring_dedup, op11_decontamination, op12_source_divergence, op13_valid_time)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -80,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": sharding.oracle(), "op8_exact_topk": hamming.ORACLE, "op11_decontamination": decontamination.ORACLE}
+    return {"op3_sharding": sharding.oracle(), "op8_exact_topk": hamming.ORACLE, "op11_decontamination": decontamination.ORACLE, "op12_source_divergence": divergence.ORACLE}
