@@ -6,105 +6,183 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import has_alias, matched_terms, term_hit
+from .lexicon import ALIAS, PART, TERM, found_terms, picked
+from .text import let
+
 
 def _add(c: Column, n: int) -> Column:
     return F.when(c, n).otherwise(0)
 
 
-def relevance_decision(text: Column, anchors: list[str], events: list[str], strategic: list[str], noise: list[str], severity: Column, entities: Column, profiles: Column) -> Column:
+#: Why a decision was made; {} stands for the context of the profiles.
+REASONS = {
+    "direct": "内容直接出现中国、中国机构/企业/人员、台湾台海或其他直接涉华实体",
+    "home": "事件发生于中国大陆/香港/台湾，且属于政治、外交、经济、产业、安全或社会层面的重大变化",
+    "entity": "命中中国海外关联企业/项目；{}",
+    "profile": "发生在存在中国重要利益暴露的国家/地区，且属于重大政治、经济、产业或安全变化；{}",
+    "none": "未发现足够的直接、间接或重大潜在涉华关联",
+    "post entity": "命中中国海外关联企业/项目，并出现异常事件信号；{}",
+    "post anchor": "直接涉华对象与异常事件/政策动作同时出现，具备苗头价值",
+    "post profile": "重大事件发生在中国利益暴露区域，并涉及战略资产/供应链；{}",
+    "post none": "仅出现泛涉华词或消费/生活内容，未发现值得预警的异常事件",
+}
+#: How the context of a profile names its region, interests and entities.
+CONTEXT = ("事件关联地区=", "中国关联利益=", "中国关联实体/项目=")
+
+
+def _reason(name: str, context: Column | None = None) -> Column:
+    said = REASONS[name]
+    return F.concat(F.lit(said[:-2]), context) if said.endswith("{}") else F.lit(said)
+
+
+def relevance_decision(text: Column, anchors: list[str], events: list[str], strategic: list[str], noise: list[str], severity: Column, entities: Column, profiles: Column, context: Column | None = None) -> Column:
     """What the rules for social posts say of a text, as a struct.
 
     Posts are accepted that name an event beside a known entity or an anchor and score 55, or an event and a
-    strategic asset in a profiled country and score 60. entities and profiles: arrays of what match_profiles found.
+    strategic asset in a profiled country and score 60. entities, profiles and context: what match_profiles found. The
+    terms of all four lists count anywhere in the text and are found in one pass.
     """
-    found = {n: matched_terms(text, w) for n, w in {"anchors": anchors, "events": events, "strategic": strategic, "noise": noise}.items()}
-    has = {n: F.size(c) > 0 for n, c in {**found, "entities": entities, "profiles": profiles}.items()}
+    lists = {n: [t for t in dict.fromkeys(map(str, w)) if t.strip()] for n, w in {"anchors": anchors, "events": events, "strategic": strategic, "noise": noise}.items()}
+    places = found_terms(text, [(PART, t) for terms in lists.values() for t in terms])
+    context = F.lit("") if context is None else context
+
+    def told(held: Column) -> Column:
+        found, at = {}, 0
+        for name, terms in lists.items():
+            found[name] = picked(held, terms, at)
+            at += len(terms)
+        some = F.struct(*(c.alias(n) for n, c in found.items()), entities.alias("entities"), profiles.alias("profiles"), severity.alias("severity"), context.alias("context"))
+        return let(some, _relevance)
+
+    return let(places, told)
+
+
+def _relevance(f: Column) -> Column:
+    has = {n: F.size(f[n]) > 0 for n in ("anchors", "events", "strategic", "noise", "entities", "profiles")}
     score = _add(has["anchors"], 38) + _add(has["entities"], 28) + _add(has["events"], 34) + _add(has["strategic"], 14)
-    score += F.when(severity >= 75, 10).when(severity >= 50, 5).otherwise(0)
+    score += F.when(f["severity"] >= 75, 10).when(f["severity"] >= 50, 5).otherwise(0)
     score += F.when(has["noise"] & ~has["events"], -48).when(has["noise"], -15).otherwise(0)
     score += _add(has["anchors"] & ~has["entities"] & ~has["events"], -25) + _add(~has["anchors"] & ~has["entities"], -20)
-    score = F.greatest(F.lit(0), F.least(F.lit(100), score))
     by_entity, by_anchor = has["entities"] & has["events"], has["anchors"] & has["events"]
-    relation = (
-        F.when(by_entity, F.when(score >= 55, "indirect").otherwise("unrelated")).when(by_anchor, F.when(score >= 55, "direct").otherwise("unrelated"))
-        .when(has["profiles"] & has["events"] & has["strategic"] & (score >= 60), "potential").otherwise("unrelated")
-    )
-    accepted = relation != "unrelated"
-    sure = F.when(accepted & (has["anchors"] | has["entities"]) & has["events"], 72).when(accepted, 55).otherwise(70)
-    lists = [F.slice(c, 1, 12).alias(n) for n, c in found.items()]
-    return F.struct(score.alias("score"), accepted.alias("accepted"), relation.alias("relation"), sure.alias("confidence"), *lists, F.slice(entities, 1, 12).alias("entities"), F.slice(profiles, 1, 8).alias("profiles"))
+
+    def told(score: Column) -> Column:
+        by_profile = has["profiles"] & has["events"] & has["strategic"] & (score >= 60)
+        relation = F.when(by_entity, F.when(score >= 55, "indirect").otherwise("unrelated")).when(by_anchor, F.when(score >= 55, "direct").otherwise("unrelated")).when(by_profile, "potential").otherwise("unrelated")
+        reason = F.when(by_entity, _reason("post entity", f["context"])).when(by_anchor, _reason("post anchor")).when(by_profile, _reason("post profile", f["context"])).otherwise(_reason("post none"))
+        accepted = relation != "unrelated"
+        sure = F.when(accepted & (has["anchors"] | has["entities"]) & has["events"], 72).when(accepted, 55).otherwise(70)
+        lists = [F.slice(f[n], 1, 12).alias(n) for n in ("anchors", "events", "strategic", "noise")]
+        return F.struct(score.alias("score"), accepted.alias("accepted"), relation.alias("relation"), sure.alias("confidence"), *lists, F.slice(f["entities"], 1, 12).alias("entities"), F.slice(f["profiles"], 1, 8).alias("profiles"), reason.alias("reason"))
+
+    return let(F.greatest(F.lit(0), F.least(F.lit(100), score)), told)
 
 
 def match_profiles(text: Column, country: Column, profiles: dict[str, dict[str, list[str]]]) -> Column:
-    """Struct of the profiles (8 at most) and entities (15 at most) that a text and its country match.
+    """Struct of the profiles (8 at most) and entities (15 at most) that a text and its country match, and their context.
 
-    profiles: name -> aliases and entities. The profile of the country comes first, then those with an alias or an
-    entity in the text, in their order.
+    profiles: name -> aliases, entities and interests. The profile of the country comes first, then those with an alias or an
+    entity in the text, in their order. The context tells of the first four, with 8 interests and 10 entities each. All
+    aliases and entities are found in one pass.
     """
-    low, home = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.trim(F.coalesce(country, F.lit(""))))
-    own, named, things = F.lit(None).cast("string"), [], []
-    for name, spec in reversed(profiles.items()):
-        aliases = [name, *map(str, spec.get("aliases") or [])]
-        own = F.when((home != "") & home.isin([a.lower() for a in aliases]), name).otherwise(own)
-    for name, spec in profiles.items():
-        hit = F.lit(False)
+    empty = F.array().cast("array<string>")
+    names = list(profiles)
+    terms, owner, things = [], [], []
+    for i, (name, spec) in enumerate(profiles.items()):
+        entities = [e for e in (str(e).strip() for e in spec.get("entities") or []) if len(e) >= 3]
+        for term, thing in [*((a, None) for a in [name, *map(str, spec.get("aliases") or [])]), *((e, e) for e in entities)]:
+            terms.append((ALIAS, term))
+            owner.append(i)
+            things.append(thing)
+    if not names:
+        return F.struct(empty.alias("profiles"), empty.alias("entities"), F.lit("").alias("context"))
+    homes: dict[str, int] = {}
+    for i, (name, spec) in enumerate(profiles.items()):
         for alias in [name, *map(str, spec.get("aliases") or [])]:
-            hit = hit | has_alias(low, alias)
-        for entity in (str(e).strip() for e in spec.get("entities") or []):
-            if len(entity) >= 3:
-                there = has_alias(low, entity)
-                hit = hit | there
-                things.append(F.when(there, entity))
-        named.append(F.when(hit, name))
-    some = lambda cs: F.filter(F.array(*cs).cast("array<string>"), lambda x: x.isNotNull())
-    first = F.filter(F.array(own), lambda x: x.isNotNull())
-    return F.struct(F.slice(F.array_distinct(F.concat(first, some(named))), 1, 8).alias("profiles"), F.slice(F.array_distinct(some(things)), 1, 15).alias("entities"))
+            homes.setdefault(alias.lower(), i)
+    home = F.lower(F.trim(F.coalesce(country, F.lit(""))))
+    at_home = F.when(home != "", F.get(F.array(*map(F.lit, homes.values())), (F.array_position(F.array(*map(F.lit, homes)), home) - 1).cast("int")))
+    lit = lambda values: F.array(*map(F.lit, values))
+
+    def context(name: str, spec: dict) -> str:
+        parts = [CONTEXT[0] + name]
+        for head, key, most in ((CONTEXT[1], "interests", 8), (CONTEXT[2], "entities", 10)):
+            if spec.get(key):
+                parts.append(head + ", ".join(map(str, spec[key][:most])))
+        return "; ".join(parts)
+
+    contexts = lit([context(n, s) for n, s in profiles.items()])
+
+    def told(found: Column) -> Column:
+        hit = F.array_sort(F.array_distinct(F.transform(found, lambda i: F.get(lit(owner), i))))
+        order = F.array_distinct(F.filter(F.concat(F.array(at_home), hit), lambda p: p.isNotNull()))
+        named = F.filter(F.transform(found, lambda i: F.get(lit(things), i)), lambda e: e.isNotNull())
+        spoken = let(order, lambda o: F.struct(F.transform(F.slice(o, 1, 8), lambda p: F.get(lit(names), p)).alias("p"), F.array_join(F.transform(F.slice(o, 1, 4), lambda p: F.get(contexts, p)), " | ").alias("c")))
+        return let(spoken, lambda x: F.struct(x["p"].alias("profiles"), F.slice(F.array_distinct(named.cast("array<string>")), 1, 15).alias("entities"), x["c"].alias("context")))
+
+    return let(found_terms(text, terms), told)
 
 
 def _matches(text: Column, pattern: str) -> Column:
     return F.coalesce(text, F.lit("")).rlike(f"(?i){pattern}")
 
 
-def heuristic_decision(text: Column, country: Column, matched: Column, social: bool = False, direct: str = fixed.DIRECT, major: str = fixed.MAJOR, leisure: str = fixed.LEISURE) -> Column:
-    """Struct of relation, confidence and entities: the first rule of the cascade that applies. matched: what match_profiles found."""
+def judged(text: Column, country: Column, matched: Column, social: bool = False, direct: str = fixed.DIRECT, major: str = fixed.MAJOR, leisure: str = fixed.LEISURE) -> Column:
+    """Struct of direct, candidate, relation, confidence, entities and reason of a text: each pattern is tried once at most.
+
+    candidate: whether a text is worth a closer look, by direct terms, a known entity, or a grave event at home or in a
+    profiled country. The rest is the first rule of the cascade that applies. matched: what match_profiles found.
+    """
     sure = lambda news, post: F.lit(post if social else news)
     none = F.array().cast("array<string>")
-    grave = _matches(text, major) & ~_matches(text, leisure)
     at_home = F.trim(F.coalesce(country, F.lit(""))).isin(list(fixed.HOME_COUNTRIES))
-    special = F.exists(matched["profiles"], lambda p: ~F.lower(p).isin(list(fixed.GENERIC_PROFILES)))
-    say = lambda relation, n, things: F.struct(F.lit(relation).alias("relation"), n.alias("confidence"), things.alias("entities"))
-    return (
-        F.when(_matches(text, direct), say("direct", sure(94, 62), none))
-        .when(at_home & grave, say("direct", sure(88, 58), none))
-        .when(F.size(matched["entities"]) > 0, say("indirect", sure(84, 58), matched["entities"]))
-        .when(special & grave, say("potential", sure(62, 45), none))
-        .otherwise(say("unrelated", F.lit(55), none))
-    )
+
+    def told(f: Column) -> Column:
+        m = f["m"]
+        special = F.exists(m["profiles"], lambda p: ~F.lower(p).isin(list(fixed.GENERIC_PROFILES)))
+        known = F.size(m["entities"]) > 0
+        say = lambda relation, n, things, reason: F.struct(F.lit(relation).alias("relation"), n.alias("confidence"), things.alias("entities"), reason.alias("reason"))
+        first = (
+            F.when(f["direct"], say("direct", sure(94, 62), none, _reason("direct")))
+            .when(at_home & f["grave"], say("direct", sure(88, 58), none, _reason("home")))
+            .when(known, say("indirect", sure(84, 58), m["entities"], _reason("entity", m["context"])))
+            .when(special & f["grave"], say("potential", sure(62, 45), none, _reason("profile", m["context"])))
+            .otherwise(say("unrelated", F.lit(55), none, _reason("none")))
+        )
+        candidate = f["direct"] | known | (f["grave"] & (at_home | (F.size(m["profiles"]) > 0)))
+        return let(first, lambda d: F.struct(f["direct"].alias("direct"), candidate.alias("candidate"), *(d[n].alias(n) for n in ("relation", "confidence", "entities", "reason"))))
+
+    return let(F.struct(matched.alias("m"), _matches(text, direct).alias("direct"), (_matches(text, major) & ~_matches(text, leisure)).alias("grave")), told)
+
+
+def heuristic_decision(text: Column, country: Column, matched: Column, social: bool = False, direct: str = fixed.DIRECT, major: str = fixed.MAJOR, leisure: str = fixed.LEISURE) -> Column:
+    """Struct of relation, confidence, entities and reason: the first rule of the cascade that applies; see judged()."""
+    return let(judged(text, country, matched, social, direct, major, leisure), lambda d: F.struct(*(d[n].alias(n) for n in ("relation", "confidence", "entities", "reason"))))
 
 
 def is_candidate(text: Column, country: Column, matched: Column, direct: str = fixed.DIRECT, major: str = fixed.MAJOR, leisure: str = fixed.LEISURE) -> Column:
-    """Whether a text is worth a closer look: direct terms, a known entity, or a grave event at home or in a profiled country."""
-    grave = _matches(text, major) & ~_matches(text, leisure)
-    at_home = F.trim(F.coalesce(country, F.lit(""))).isin(list(fixed.HOME_COUNTRIES))
-    return _matches(text, direct) | (F.size(matched["entities"]) > 0) | (grave & (at_home | (F.size(matched["profiles"]) > 0)))
+    """Whether a text is worth a closer look; see judged()."""
+    return judged(text, country, matched, False, direct, major, leisure)["candidate"]
 
 
 def risk_taxonomy(text: Column, taxonomy: dict[str, dict]) -> Column:
     """The risk categories with a term in the text, as structs, by weight and number of terms, largest first.
 
-    taxonomy: key -> label_zh, label_en, exposure_weight and terms.
+    taxonomy: key -> label_zh, label_en, exposure_weight and terms; all terms are found in one pass.
     """
-    made = []
-    for i, (key, spec) in enumerate(taxonomy.items()):
-        hits = F.filter(F.array(*(F.when(term_hit(text, t), str(t)) for t in spec.get("terms") or [])).cast("array<string>"), lambda x: x.isNotNull())
-        made.append(
-            F.struct(
+    terms = {key: list(map(str, spec.get("terms") or [])) for key, spec in taxonomy.items()}
+
+    def told(found: Column) -> Column:
+        made, at = [], 0
+        for i, (key, spec) in enumerate(taxonomy.items()):
+            shape = lambda hits, i=i, key=key, spec=spec: F.struct(
                 F.lit(int(spec.get("exposure_weight") or 60)).alias("weight"), F.least(F.size(hits), F.lit(12)).alias("n"), F.lit(-i).alias("turn"), F.lit(key).alias("key"),
                 F.lit(spec.get("label_zh") or key).alias("label_zh"), F.lit(spec.get("label_en") or key).alias("label_en"), F.slice(hits, 1, 12).alias("terms"),
             )
-        )
-    return F.sort_array(F.filter(F.array(*made), lambda c: c["n"] > 0), asc=False)
+            made.append(let(picked(found, terms[key], at), shape))
+            at += len(terms[key])
+        return F.sort_array(F.filter(F.array(*made), lambda c: c["n"] > 0), asc=False)
+
+    return let(found_terms(text, [(TERM, t) for held in terms.values() for t in held]), told)
 
 
 def source_tier(name: Column, kind: Column, tiers: list[tuple[int, str]], other: int = 3) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,11 +12,29 @@ from . import fixed
 
 #: The characters that count as Chinese, Japanese or Korean.
 CJK = "\u3400-\u9fff"
+#: White space of any script, as a pattern, and its characters.
+SPACE = "(?U)[\\s\\x1c-\\x1f]"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def stripped(c: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.btrim(c, F.lit(SPACES))
+
+
+def collapsed(c: Column) -> Column:
+    """Runs of white space of any script as one space."""
+    return F.regexp_replace(c, SPACE + "+", " ")
 
 
 def compact_text(c: Column, most: int = 1200) -> Column:
     """White space collapsed, trimmed, cut to `most` characters."""
-    return F.substring(F.trim(F.regexp_replace(c, "\\s+", " ")), 1, most)
+    return F.substring(F.trim(collapsed(c)), 1, most)
 
 
 def record_id(c: Column) -> Column:
@@ -35,7 +54,7 @@ def term_hit(text: Column, term: str) -> Column:
         return F.lit(False)
     low = F.lower(F.coalesce(text, F.lit("")))
     if re.fullmatch(r"[a-z0-9 ._\-/]+", term):
-        return low.rlike(_bounded(r"\s+".join(map(re.escape, term.split(" ")))))
+        return low.rlike(_bounded((SPACE + "+").join(map(re.escape, term.split(" ")))))
     return F.contains(low, F.lit(term))
 
 
@@ -60,8 +79,12 @@ def has_cjk(text: Column) -> Column:
 
 
 def matched_terms(text: Column, terms: list[str]) -> Column:
-    """The terms that occur anywhere in the text, in the order given."""
-    return F.filter(F.array(*map(F.lit, dict.fromkeys(t.casefold() for t in terms))), lambda t: F.contains(F.lower(text), t))
+    """The terms, as given, that occur anywhere in the text in any case of letters, in the order given. Blank ones never do."""
+    known = [t for t in dict.fromkeys(map(str, terms)) if t.strip()]
+    if not known:
+        return F.array().cast("array<string>")
+    pairs = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(t.lower().strip()).alias("low")) for t in known))
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.transform(F.filter(pairs, lambda t: F.contains(low, t["low"])), lambda t: t["term"]))
 
 
 def latin_tokens(text: Column, stop: list[str] = []) -> Column:
@@ -87,7 +110,7 @@ def severity(text: Column, patterns: list[tuple[str, int]] = [(p, n) for _, n, p
 
 def normalize_text(text: Column) -> Column:
     """Lower case; URLs and everything but Latin letters, digits, CJK and a few signs become spaces."""
-    bare = F.regexp_replace(F.lower(text), r"https?://\S+", " ")
+    bare = F.regexp_replace(F.lower(text), f"https?://{SPACE.replace('[', '[^')}+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(bare, rf"[^a-z0-9{CJK}%$€£¥]+", " "), " +", " "))
 
 
@@ -148,17 +171,27 @@ def iso_time(c: Column) -> Column:
     return F.when(number.isNull(), F.try_to_timestamp(c.cast("string"))).when(number > 1e12, F.timestamp_millis(number.cast("bigint"))).otherwise(F.timestamp_seconds(number))
 
 
+def _first_spellings(words: Column, bare: Callable[[Column], Column]) -> Column:
+    """The words without empty ones, of those that are alike when bare the first, in order. Work grows as of sorting."""
+
+    def told(held: Column) -> Column:
+        keyed = F.sort_array(F.transform(held, lambda x, i: F.struct(bare(x).alias("k"), i.alias("i"))))
+        firsts = let(keyed, lambda s: F.filter(s, lambda p, j: ~F.coalesce(F.get(s, j - 1)["k"] == p["k"], F.lit(False))))
+        return F.transform(F.sort_array(F.transform(firsts, lambda p: p["i"])), lambda i: F.get(held, i))
+
+    return let(F.filter(words, lambda x: x != ""), told)
+
+
 def split_keywords(c: Column) -> Column:
-    """Comma-separated words, trimmed, without empty ones; of spellings that differ in case or inner spaces alone the first."""
-    words = F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
-    bare = lambda x: F.lower(F.regexp_replace(x, "\\s+", " "))
-    return F.filter(words, lambda x, i: F.array_position(F.transform(words, bare), bare(x)) == i + 1)
+    """Comma-separated words, stripped, without empty ones; of spellings that differ in case or inner spaces alone the first."""
+    return _first_spellings(F.transform(F.split(c, ","), stripped), lambda x: F.lower(collapsed(x)))
 
 
 def merge_terms(*lists: Column) -> Column:
-    """The trimmed terms of all lists in order, without empty ones; of spellings that differ in case alone the first."""
-    words = F.filter(F.transform(F.flatten(F.array(*lists)), lambda x: F.trim(x)), lambda x: x != "")
-    return F.filter(words, lambda x, i: F.array_position(F.transform(words, lambda y: F.lower(y)), F.lower(x)) == i + 1)
+    """The stripped terms of all lists in order, without null and empty ones; of spellings that differ in case alone the first."""
+    none = F.array().cast("array<string>")
+    words = F.flatten(F.array(*(F.coalesce(c, none) for c in lists)))
+    return _first_spellings(F.transform(words, lambda x: stripped(F.coalesce(x, F.lit("")))), F.lower)
 
 
 def host(url: Column) -> Column:
@@ -185,9 +218,10 @@ def publisher_family(name: Column, platform: Column, url: Column, families: dict
 def canonical_url(url: Column, tracking: list[str] = fixed.TRACKING) -> Column:
     """Scheme and host in small letters, no fragment, no tracking parameters, no repeated or last slashes in the path.
 
-    What remains of the query is decoded and encoded again. A text without scheme and host is only trimmed.
+    What remains of the query is decoded and encoded again. An address without a scheme (//host/path) gets https; a text without a host is only stripped.
     """
-    bare = F.trim(url)
+    bare = stripped(url)
+    bare = F.when(bare.startswith("//"), F.concat(F.lit("https:"), bare)).otherwise(bare)
     part = lambda i: F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?", i)
     path = F.regexp_replace(F.regexp_replace(part(3), "/{2,}", "/"), "/+$", "")
     pair = lambda p: F.array(F.regexp_extract(p, "^([^=]*)", 1), F.regexp_extract(p, "^[^=]*=(.*)$", 1))

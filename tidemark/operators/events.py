@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed, rules, scores, text
+from ..functions import fixed, lexicon, rules, scores, text
 from ..session import materialized
 from . import similarity
 
@@ -44,9 +44,14 @@ def _shaped(df: DataFrame, fields: dict[str, str]) -> DataFrame:
 
 
 def union_rows(articles: DataFrame, signals: DataFrame) -> DataFrame:
-    """News and posts together, posts with their derived defaults; origin_type says which. Articles come first in seq."""
-    news = _shaped(articles, FIELDS).withColumn("origin_type", F.lit("news"))
-    post = _shaped(signals, FIELDS).withColumn("origin_type", F.lit("social"))
+    """News and posts together, posts with their derived defaults; origin_type says which.
+
+    seq: articles first, each table in the order of its column input_order, else as Spark happens to number its rows.
+    """
+    placed = lambda df: F.col("input_order").cast("bigint") if "input_order" in df.columns else F.monotonically_increasing_id()
+    articles, signals = (df.withColumn("_row", placed(df)) for df in (articles, signals))
+    news = _shaped(articles, FIELDS | {"_row": "bigint"}).withColumn("origin_type", F.lit("news"))
+    post = _shaped(signals, FIELDS | {"_row": "bigint"}).withColumn("origin_type", F.lit("social"))
     given = {c: c in signals.columns for c in ("source_kind", "source", "title")}
     if not given["source_kind"]:
         post = post.withColumn("source_kind", F.lit("social"))
@@ -55,7 +60,7 @@ def union_rows(articles: DataFrame, signals: DataFrame) -> DataFrame:
     if not given["title"]:
         post = post.withColumn("title", F.substring(F.coalesce("text", F.lit("")), 1, 260))
     both = news.withColumn("turn", F.lit(0)).unionByName(post.withColumn("turn", F.lit(1)))
-    return both.withColumn("seq", F.struct("turn", F.monotonically_increasing_id().alias("row"))).drop("turn")
+    return both.withColumn("seq", F.struct("turn", F.col("_row").alias("row"))).drop("turn", "_row")
 
 
 def _described(rows: DataFrame, cfg: Config, now: Column) -> DataFrame:
@@ -108,7 +113,7 @@ def _facts(rows: DataFrame, cfg: Config) -> DataFrame:
     joined = facts.join(things, "cluster", "left").join(places, "cluster", "left").withColumns({"entities": F.coalesce("entities", none), "countries": F.coalesce("countries", none)})
     story = F.array_join(F.col("held").getField("said"), " ")
     joined = joined.withColumn("held", F.array_sort("story")).withColumn("combined", story).withColumn("risks", rules.risk_taxonomy(F.col("combined"), cfg.taxonomy) if cfg.taxonomy else F.lit(None).cast("array<struct<weight:int,key:string,label_zh:string,label_en:string,terms:array<string>>>"))
-    return joined.withColumns({"escalates": text.any_term(F.col("combined"), cfg.escalation), "resolves": text.any_term(F.col("combined"), cfg.resolution), "title": F.substring("rep.said", 1, 360), "language": F.coalesce("rep.language", F.lit(""))}).drop("story", "held")
+    return joined.withColumns({"escalates": F.size(lexicon.found_terms(F.col("combined"), [(lexicon.TERM, t) for t in cfg.escalation])) > 0, "resolves": F.size(lexicon.found_terms(F.col("combined"), [(lexicon.TERM, t) for t in cfg.resolution])) > 0, "title": F.substring("rep.said", 1, 360), "language": F.coalesce("rep.language", F.lit(""))}).drop("story", "held")
 
 
 def _matched(facts: DataFrame, previous: DataFrame, cfg: Config) -> DataFrame:

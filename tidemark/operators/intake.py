@@ -86,21 +86,19 @@ def classify(items: DataFrame, known: Rules, ask: Callable[[DataFrame], DataFram
     ANSWER rows. Items need an id, one row each.
     """
     said = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")))
-    rows = items.withColumn("_said", said)
-    rows = rows.withColumn("_found", rules.match_profiles(F.col("_said"), F.col("country"), known.profiles))
-    terms = (known.direct, known.major, known.leisure)
-    rows = rows.withColumn("_rule", rules.heuristic_decision(F.col("_said"), F.col("country"), F.col("_found"), False, *terms))
-    by_rule = F.struct(F.col("_rule.relation").alias("relation"), F.col("_rule.confidence").alias("confidence"), F.col("_rule.entities").alias("entities"), F.lit("").alias("reason"), F.lit("rules").alias("classifier"))
-    direct = F.coalesce(F.col("_said").rlike(f"(?i){known.direct}"), F.lit(False))
-    rows = rows.filter(direct | rules.is_candidate(F.col("_said"), F.col("country"), F.col("_found"), *terms))
+    found = rules.match_profiles(said, F.col("country"), known.profiles)
+    # Generated rows let no filter through, so each row is judged once.
+    facts = rules.let(found, lambda m: F.struct(m.alias("found"), rules.judged(said, F.col("country"), m, False, known.direct, known.major, known.leisure).alias("rule")))
+    wanted = lambda f: f["rule"]["candidate"] if ask else f["rule"]["candidate"] & (f["rule"]["relation"] != "unrelated")
+    rows = items.withColumn("_facts", F.explode(F.filter(F.array(facts), wanted)))
+    by_rule = F.struct(*(F.col(f"_facts.rule.{n}").alias(n) for n in ("relation", "confidence", "entities", "reason")), F.lit("rules").alias("classifier"))
     if ask is None:
-        told = rows.withColumn("decision", by_rule)
-    else:
-        rows = materialized(rows.withColumn("_direct", direct))
-        asked = rows.filter("NOT _direct").select("id", F.substring("title", 1, 500).alias("title"), F.substring("snippet", 1, 700).alias("snippet"), "country", "_found.profiles", "_found.entities")
-        answers = answered(ask(asked)).select("id", F.struct("relation", "confidence", "entities", "reason", F.lit(classifier).alias("classifier")).alias("_model"))
-        told = rows.join(answers, "id", "left").withColumn("decision", F.coalesce("_model", by_rule)).drop("_model", "_direct")
-    return told.filter("decision.relation <> 'unrelated'").drop("_said", "_found", "_rule")
+        return rows.withColumn("decision", by_rule).drop("_facts")
+    rows = materialized(rows)
+    asked = rows.filter("NOT _facts.rule.direct").select("id", F.substring("title", 1, 500).alias("title"), F.substring("snippet", 1, 700).alias("snippet"), "country", "_facts.found.profiles", "_facts.found.entities")
+    answers = answered(ask(asked)).select("id", F.struct("relation", "confidence", "entities", "reason", F.lit(classifier).alias("classifier")).alias("_model"))
+    told = rows.join(answers, "id", "left").withColumn("decision", F.coalesce("_model", by_rule))
+    return told.filter("decision.relation <> 'unrelated'").drop("_facts", "_model")
 
 
 def article_records(items: DataFrame, now: Column) -> DataFrame:
@@ -128,9 +126,11 @@ def judged_posts(items: DataFrame, known: Rules) -> DataFrame:
     """Posts with the struct `audit` of the rules for posts, and `severity`."""
     said = F.col("snippet")
     found = rules.match_profiles(said, F.col("country"), known.profiles)
-    rows = items.withColumns({"severity": text.severity_label(said), "_found": found})
-    told = rules.relevance_decision(said, known.anchors, known.happenings, known.strategic, known.noise, text.severity(said), F.col("_found.entities"), F.col("_found.profiles"))
-    return rows.withColumn("audit", told).drop("_found")
+    lists = (known.anchors, known.happenings, known.strategic, known.noise)
+    # Generated columns are computed once, however often they are used.
+    rows = items.withColumn("severity", text.severity_label(said)).withColumn("_found", F.explode(F.array(found)))
+    told = rules.relevance_decision(said, *lists, text.severity(said), F.col("_found.entities"), F.col("_found.profiles"), F.col("_found.context"))
+    return rows.withColumn("audit", F.explode(F.array(told))).drop("_found")
 
 
 def signal_records(judged: DataFrame, now: Column) -> DataFrame:
@@ -143,7 +143,7 @@ def signal_records(judged: DataFrame, now: Column) -> DataFrame:
     return judged.filter("audit.accepted").select(
         F.coalesce(F.nullif("id", F.lit("")), own).alias("id"), held("platform", "social").alias("platform"), held("author", "unknown").alias("author"), body.alias("text"), F.substring(body, 1, 360).alias("title"), "url", "published_at",
         now.alias("collected_at"), held("query", "").alias("query"), "engagement", F.coalesce("media_count", F.lit(0)).alias("media_count"), held("collector", "unknown").alias("collector"),
-        F.concat(held("platform", "social"), F.lit(" · "), held("author", "unknown")).alias("source"), F.lit("social").alias("source_kind"), held("country", "").alias("country"), a["relation"].alias("relation"), F.lit("").alias("reason"), a["entities"].alias("entities"),
+        F.concat(held("platform", "social"), F.lit(" · "), held("author", "unknown")).alias("source"), F.lit("social").alias("source_kind"), held("country", "").alias("country"), a["relation"].alias("relation"), a["reason"].alias("reason"), a["entities"].alias("entities"),
         scores.signal_confidence(F.col("confidence"), F.col("verified"), F.col("media_count")).alias("confidence"), scores.signal_priority(weight, text.severity(body), hours).alias("priority_score"), "severity", F.lit("rules").alias("classifier"),
         a["score"].alias("relevance_score"), a["anchors"].alias("matched_anchors"), a["events"].alias("matched_events"),
     )
@@ -153,14 +153,14 @@ def review_rows(judged: DataFrame) -> DataFrame:
     """What the rules said of every post, accepted or not."""
     a = F.col("audit")
     lists = {"matched_anchors": "anchors", "matched_events": "events", "matched_strategic": "strategic", "noise_terms": "noise", "profiles": "profiles", "entities": "entities"}
-    return judged.select("id", "platform", "author", "published_at", "query", "text", "url", a["accepted"].alias("accepted"), a["relation"].alias("relation"), a["score"].alias("relevance_score"), "severity", *(a[c].alias(n) for n, c in lists.items()))
+    return judged.select("id", "platform", "author", "published_at", "query", "text", "url", a["accepted"].alias("accepted"), a["relation"].alias("relation"), a["score"].alias("relevance_score"), "severity", a["reason"].alias("reason"), *(a[c].alias(n) for n, c in lists.items()))
 
 
-def upsert(old: DataFrame, new: DataFrame, now: Column, days: int, most: int) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, now: Column, days: int, most: int, turn: str | None = None) -> DataFrame:
     """Stored rows with new ones put in by id, canonical address or address; see tables.merge_by_id. Dates are of publication, else of collection."""
     keys = lambda df: [F.col(c) for c in ("id", "canonical_url", "url") if c in df.columns]
     shaped = lambda df: df.withColumns({"_store": tables.store_key(*keys(df)), "_dated": F.coalesce("published_at", "collected_at")}).filter("_store IS NOT NULL")
-    return tables.merge_by_id(shaped(old), shaped(new), "_store", "_dated", now, days, most).drop("_store", "_dated")
+    return tables.merge_by_id(shaped(old), shaped(new), "_store", "_dated", now, days, most, turn).drop("_store", "_dated")
 
 
 def counters(**frames: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def run(
     """One run: all, news, social or rebuild. Stored tables, landed items and posts in; the next stored tables, events and counts out.
 
     News: unseen addresses are judged and stored. Social: posts of the connectors and external ones not stored yet are
-    judged and stored. In any mode external posts are judged anew in place of those stored, and events are built.
+    judged and stored. In any mode external posts, if there are any, are judged anew in place of those stored, and events are built.
     Each stored table and the events are written once to spark.checkpoint.dir.
     """
     if mode not in ("all", "news", "social", "rebuild"):
@@ -210,7 +210,7 @@ def run(
         seen |= {"signals_seen": raw, "signals_relevant": new}
         signals = materialized(upsert(signals, new, now, known.signal_days, known.most_signals))
     review = None
-    if external is not None:
+    if external is not None and not external.isEmpty():
         judged = materialized(judged_posts(post_items(external), known))
         review = review_rows(judged)
         others = signals.filter(~F.col("collector").eqNullSafe(F.lit("MediaCrawler-external")))
@@ -218,6 +218,8 @@ def run(
         seen |= {"social_review_total": review, "social_review_accepted": review.filter("accepted")}
     built = materialized(events.build_events(articles, signals, now, previous, known.events))
     order = [F.desc("priority_score"), F.desc("momentum_score"), F.desc("last_seen"), F.asc("id")]
-    latest = tables.diverse_top(events.latest_gate(built, now), "category", order)
+    named = lambda c: F.nullif(F.col(c), F.lit(""))
+    gate = events.latest_gate(built, now).withColumn("_kind", F.coalesce(named("risk_category"), named("category"), F.lit("other")))
+    latest = tables.diverse_top(gate, "_kind", order, caps={"military_security": 5}).drop("_kind")
     seen |= {"stored_articles": articles, "stored_signals": signals, "events": built, "latest_events": latest}
     return Result(articles, signals, review, built, latest, counters(**seen))

@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import collapsed
+
 CANDIDATE = "query string, template string, score bigint, facets array<string>"
 
 
 def clean(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, "\\s+", " "))
+    return F.trim(collapsed(c))
 
 
 def folded(c: Column) -> Column:

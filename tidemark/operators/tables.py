@@ -12,17 +12,23 @@ def first_wins(df: DataFrame, key: str | tuple[str, ...], *order: Column) -> Dat
     return df.withColumn("_place", place).filter("_place = 1").drop("_place")
 
 
-def merge_by_id(old: DataFrame, new: DataFrame, key: str, at: str, now: Column, days: int, most: int) -> DataFrame:
-    """Upsert: new rows win, undated rows and those within the retention stay, the newest `most` are kept."""
+def merge_by_id(old: DataFrame, new: DataFrame, key: str, at: str, now: Column, days: int, most: int, turn: str | None = None) -> DataFrame:
+    """Upsert: new rows win, undated rows and those within the retention stay, the newest `most` are kept.
+
+    Of rows of one table that share a key the last in the order of `turn` wins, a column of the input's order; without
+    one the latest date, then the last by all columns that can be compared. So the result does not depend on partitions.
+    """
     both = old.withColumn("_turn", F.lit(0)).unionByName(new.withColumn("_turn", F.lit(1)), allowMissingColumns=True)
-    last = first_wins(both, key, F.desc("_turn"), F.desc(at)).drop("_turn")
+    plain = [c for c, kind in both.dtypes if c != "_turn" and "map<" not in kind and "variant" not in kind]
+    order = [F.desc(turn)] if turn else [F.desc(at), *map(F.desc, plain)]
+    last = first_wins(both, key, F.desc("_turn"), *order).drop("_turn")
     kept = last.filter(F.col(at).isNull() | (F.col(at) >= now - F.expr(f"INTERVAL {days} DAYS")))
     return kept.orderBy(F.desc(at), F.asc(key)).limit(most)
 
 
 def active(df: DataFrame, at: str, now: Column, days: int = 7) -> DataFrame:
-    """Rows of the last days; later ones stay."""
-    return df.filter(F.col(at) >= now - F.expr(f"INTERVAL {days} DAYS"))
+    """Rows of the last days; later ones stay, and undated ones, which count as now."""
+    return df.filter(F.col(at).isNull() | (F.col(at) >= now - F.expr(f"INTERVAL {days} DAYS")))
 
 
 def diverse_top(df: DataFrame, category: str, order: list[Column], cap: int = 4, most: int = 18, caps: dict[str, int] | None = None) -> DataFrame:
@@ -35,7 +41,7 @@ def diverse_top(df: DataFrame, category: str, order: list[Column], cap: int = 4,
 
 
 def summary(df: DataFrame, *columns: str) -> DataFrame:
-    """Counts by each column, as (dimension, value, n), in one pass over grouping sets."""
+    """Counts by each column, as (dimension, value, n), in one pass: each row gives a pair a column, which partial sums shrink before the shuffle."""
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in columns)))
     return df.select(pairs.alias("p")).groupBy("p.dimension", "p.value").agg(F.count("*").alias("n"))
 
