@@ -92,4 +92,4 @@ def test_stream_counts_equal_batch(spark, tmp_path):
 
 
 def test_all_queries_have_sql_or_a_test():
-    assert {q.__name__ for q in catalog.QUERIES} - set(catalog.SQL) == {"k5_clusters", "f6_similar_pairs"}
+    assert {q.__name__ for q in catalog.QUERIES} - set(catalog.SQL) == {"k5_clusters", "f6_similar_pairs", "a7_page_items"}

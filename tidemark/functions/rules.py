@@ -171,14 +171,16 @@ def risk_taxonomy(text: Column, taxonomy: dict[str, dict]) -> Column:
     """
     terms = {key: list(map(str, spec.get("terms") or [])) for key, spec in taxonomy.items()}
 
+    def category(i: int, key: str, spec: dict):
+        return lambda hits: F.struct(
+            F.lit(int(spec.get("exposure_weight") or 60)).alias("weight"), F.least(F.size(hits), F.lit(12)).alias("n"), F.lit(-i).alias("turn"), F.lit(key).alias("key"),
+            F.lit(spec.get("label_zh") or key).alias("label_zh"), F.lit(spec.get("label_en") or key).alias("label_en"), F.slice(hits, 1, 12).alias("terms"),
+        )
+
     def told(found: Column) -> Column:
         made, at = [], 0
         for i, (key, spec) in enumerate(taxonomy.items()):
-            shape = lambda hits, i=i, key=key, spec=spec: F.struct(
-                F.lit(int(spec.get("exposure_weight") or 60)).alias("weight"), F.least(F.size(hits), F.lit(12)).alias("n"), F.lit(-i).alias("turn"), F.lit(key).alias("key"),
-                F.lit(spec.get("label_zh") or key).alias("label_zh"), F.lit(spec.get("label_en") or key).alias("label_en"), F.slice(hits, 1, 12).alias("terms"),
-            )
-            made.append(let(picked(found, terms[key], at), shape))
+            made.append(let(picked(found, terms[key], at), category(i, key, spec)))
             at += len(terms[key])
         return F.sort_array(F.filter(F.array(*made), lambda c: c["n"] > 0), asc=False)
 

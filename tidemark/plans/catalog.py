@@ -59,8 +59,9 @@ def j2_last_wins(spark, sf_dir):
 
 
 def j3_merge_by_id(spark, sf_dir):
-    events = _read(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    return tables.merge_by_id(events, events, "event_id", "ts", _now(), 14, 500).select("event_id", "user_id")
+    events = _read(spark, sf_dir, "events").select((F.col("event_id") % 2000).alias("key"), "event_id", "event_type", "user_id", "ts")
+    old, new = events.filter("event_type <> 'purchase'"), events.filter("event_type = 'purchase'")
+    return tables.merge_by_id(old, new, "key", "ts", _now(), 14, 500, turn="event_id").select("key", "event_id", "user_id")
 
 
 def b4_source_summary(spark, sf_dir):
@@ -157,7 +158,7 @@ SQL = {
     "h3_novelty": f"SELECT event_id, CASE WHEN h IS NULL THEN 100 WHEN h <= 6 THEN 95 WHEN h <= 24 THEN 82 WHEN h <= 72 THEN 60 WHEN h <= 120 THEN 40 ELSE 25 END AS novelty FROM (SELECT event_id, (epoch_us(TIMESTAMP '{_NOW}') - epoch_us(ts)) / 3600000000 AS h FROM events)",
     "i2_diverse_top": "SELECT event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= CASE WHEN event_type = 'error' THEN 5 ELSE 4 END ORDER BY value DESC, event_id LIMIT 18",
     "j2_last_wins": "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
-    "j3_merge_by_id": f"SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '{_NOW}' - INTERVAL 14 DAYS ORDER BY ts DESC, event_id LIMIT 500",
+    "j3_merge_by_id": f"SELECT key, event_id, user_id FROM (SELECT *, event_id % 2000 AS key FROM events QUALIFY row_number() OVER (PARTITION BY event_id % 2000 ORDER BY event_type = 'purchase' DESC, event_id DESC) = 1) WHERE ts >= TIMESTAMP '{_NOW}' - INTERVAL 14 DAYS ORDER BY ts DESC, key LIMIT 500",
     "b4_source_summary": "SELECT 'source' AS dimension, source AS value, count(*) AS n FROM documents GROUP BY source UNION ALL SELECT 'lang', lang, count(*) FROM documents GROUP BY lang",
     "d2_normalize_text": r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\S+', ' ', 'g'), '[^a-z0-9㐀-鿿%$€£¥]+', ' ', 'g'), ' +', ' ', 'g')) AS plain FROM documents",
     "d7_to_int": "SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS n, CAST(strftime(o_orderdate, '%Y%m%d') AS BIGINT) AS day, CAST(0 AS BIGINT) AS none FROM orders",

@@ -19,7 +19,7 @@ def _items(spark, sf_dir):
 
 def a7_page_items(spark, sf_dir):
     pages = _read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source"), F.lit("news").alias("source_kind"), F.lit(None).cast("string").alias("country"), F.lit(None).cast("string").alias("language"), "url", "html")
-    return feeds.page_items(pages)
+    return feeds.page_items(pages, least=2, alone=3)  # the links of these pages are single words
 
 
 def a9_search_items(spark, sf_dir):

@@ -50,7 +50,8 @@ def c5_candidate_gate(spark, sf_dir):
 
 def c7_unseen(spark, sf_dir):
     events = _read(spark, sf_dir, "events")
-    return tables.unseen(events, events.filter(F.col("event_type") == "purchase"), "user_id", F.asc("event_id")).select("user_id", "event_id")
+    keyed = events.withColumn("key", F.concat_ws(":", "user_id", "ts"))
+    return tables.unseen(keyed, keyed.filter(F.col("event_type") == "purchase"), "key", F.asc("event_id")).select("user_id", "event_id")
 
 
 def c9_replace_collector(spark, sf_dir):
@@ -257,7 +258,7 @@ _MATCHED = f"""(SELECT *, list_distinct_in_order AS profiles FROM (SELECT doc_id
 SQL = {
     "c2_alias": f"SELECT doc_id, {_WORD('the')} AS stands, contains(t, 'é,') AS part, false AS short FROM (SELECT doc_id, lower(text) AS t FROM documents)",
     "c5_candidate_gate": f"SELECT doc_id, regexp_matches(t, 'secret|%%%') OR len(ents) > 0 OR (len(profiles) > 0 AND regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])(und|pour|with)([^\\p{{L}}\\p{{N}}_]|$)') AND NOT regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])(para)([^\\p{{L}}\\p{{N}}_]|$)')) AS candidate FROM {_MATCHED}",
-    "c7_unseen": "SELECT user_id, min(event_id) AS event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase') GROUP BY user_id",
+    "c7_unseen": "SELECT user_id, min(event_id) AS event_id FROM events e WHERE NOT EXISTS (FROM events s WHERE s.event_type = 'purchase' AND s.user_id = e.user_id AND s.ts = e.ts) GROUP BY user_id, ts",
     "c9_replace_collector": "SELECT doc_id, source, lang FROM documents WHERE source IS DISTINCT FROM 'src1' UNION ALL SELECT doc_id, source, 'new' FROM documents WHERE lang = 'fr'",
     "c10_latest_gate": f"SELECT id, priority_score FROM {_EVENTS} WHERE last_seen >= TIMESTAMP '{_NOW}' - INTERVAL 24 HOURS AND priority_score >= 58",
     "c11_has_cjk": "SELECT doc_id, regexp_matches(text, '[㐀-鿿]') AS cjk FROM documents",

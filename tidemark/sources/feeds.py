@@ -49,10 +49,10 @@ def feed_items(feeds: DataFrame, body: str = "body", most: int = 5) -> DataFrame
     return told.filter("title <> '' AND url <> ''")
 
 
-def page_items(pages: DataFrame, url: str = "url", html: str = "html", most: int = 5, article: str = links.ARTICLE, skip: str = links.SKIP) -> DataFrame:
+def page_items(pages: DataFrame, url: str = "url", html: str = "html", most: int = 5, article: str = links.ARTICLE, skip: str = links.SKIP, least: int = 18, alone: int = 42) -> DataFrame:
     """Items from the links of each landed page: the first `most` that look like articles of its own host.
 
-    A link's text must have 18 characters, or 42 where the path does not speak for an article. Links of one
+    A link's text must have `least` characters, or `alone` where the path does not speak for an article. Links of one
     canonical address count once. A null page gives none.
     """
     anchor = r"""(?is)<a\s(?:[^>]*\s)?href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+)[^>]*>.*?</a\s*>"""
@@ -62,7 +62,7 @@ def page_items(pages: DataFrame, url: str = "url", html: str = "html", most: int
     rows = rows.withColumns({"title": F.substring(text.page_text(F.col("_a")), 1, 500), "url": text.absolute_url(F.col("_base"), text.decoded(href))})
     place = lambda c, i: F.regexp_extract(c, r"^(https?)://([^/?#]*)([^?#]*)", i)
     path, there = place(F.col("url"), 3), place(F.col("url"), 2)
-    fit = (F.length("title") >= 18) & (there != "") & (there == place(F.col("_base"), 2)) & ~path.rlike(skip) & (path.rlike(article) | (F.length("title") >= 42))
+    fit = (F.length("title") >= least) & (there != "") & (there == place(F.col("_base"), 2)) & ~path.rlike(skip) & (path.rlike(article) | (F.length("title") >= alone))
     rows = rows.filter(fit).withColumn("_canonical", text.canonical_url(F.col("url")))
     once = tables.first_wins(rows.repartition("_page"), ("_page", "_canonical"), F.asc("pos"))
     kept = tables.top_of_each(once, "_page", most, F.asc("pos"))
