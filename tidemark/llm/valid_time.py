@@ -56,7 +56,7 @@ _WAITING = ("client", "at", "id")
 
 def micros(c: Column) -> Column:
     """Microseconds since 1970 of a time without a zone, whatever the session's zone."""
-    seconds = F.hour(c) * 3600 + F.minute(c) * 60
+    seconds = (F.hour(c) * 3600 + F.minute(c) * 60).cast("bigint")
     return F.unix_date(F.to_date(c)).cast("bigint") * 86_400_000_000 + seconds * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
 
 
@@ -66,7 +66,7 @@ def _some(c: Column) -> Column:
 
 def numbered(sales: DataFrame, changes: DataFrame, batches: int, first_day: int, days: int, late_days: int) -> DataFrame:
     """Both tables as rows (kind, client, at, seq, id, cents, op, turn); turn is the batch."""
-    turn = lambda day: F.coalesce(F.least(F.lit(batches - 1), F.greatest(F.lit(0), F.floor((day - first_day) * batches / days))), F.lit(batches - 1)).cast("bigint")
+    turn = lambda day: F.when(day.isNull(), batches - 1).otherwise(F.least(F.lit(batches - 1), F.greatest(F.lit(0), F.floor((day - first_day) * batches / days)))).cast("bigint")
     day = lambda c: F.unix_date(F.to_date(c))
     sold = sales.select(F.lit(_SALE).alias("kind"), F.col("client_id").cast("bigint").alias("client"), _some(micros(F.col("sold_at"))).alias("at"), F.lit(LOW).alias("seq"), _some(F.col("sale_id")).alias("id"), F.lit(LOW).alias("cents"), F.lit(None).cast("string").alias("op"), turn(day(F.col("arrived_at"))).alias("turn"))
     plain = [c for c, kind in changes.dtypes if not kind.startswith(("map", "variant"))]
@@ -225,7 +225,7 @@ class Enricher(StatefulProcessor):
         turn, none = int(clock["turn"]), np.full(len(late["id"]), LOW)
         yield pd.DataFrame(
             {
-                "rec": ["sale"] * len(place) + ["late"] * len(none),
+                "rec": np.array(["sale"] * len(place) + ["late"] * len(none), object),
                 "id": np.concatenate((sales["id"], late["id"])),
                 "client": np.concatenate((sales["client"], late["client"])),
                 "batch": turn,
@@ -234,7 +234,7 @@ class Enricher(StatefulProcessor):
                 "cents": np.concatenate((out["cents"].astype(np.int64), none)),
                 "op": np.concatenate((out["op"], np.full(len(none), None))),
             }
-        )
+        ).astype({"rec": object, "op": object})  # the worker takes no strings kept in Arrow
 
 
 def _renamed(spark, source: str, target: str) -> None:
