@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_text, chunks, cut, fresh, lists, utf8
@@ -255,11 +255,16 @@ def near_duplicates(
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", **parameters) -> DataFrame:
-    """The input rows with one row kept of each class, the one whose id is the class's; all columns stay.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """The input rows with those of each class kept whose id is the class's; all columns stay.
 
-    Of rows that repeat an id and a text one stays. Rows with a null id are kept.
+    Of rows that repeat an id and a text the first by all columns that can be compared stays. Rows of one id with different
+    texts stay all, so that none is lost where an id names unrelated texts. Rows with a null id are kept.
     """
-    result = near_duplicates(docs, id_col=id_col, **parameters)
+    result = near_duplicates(docs, id_col=id_col, text_col=text_col, **parameters)
     chosen = result.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias(fresh("_kept_id", docs.columns))).distinct()
-    return docs.join(chosen, docs[id_col] == chosen[chosen.columns[0]], "left_semi").dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    plain = [F.col(c) for c, kind in docs.dtypes if c not in (id_col, text_col) and "map<" not in kind and "variant" not in kind]
+    place = fresh("_place", docs.columns)
+    order = F.row_number().over(Window.partitionBy(id_col, text_col).orderBy(*(plain or [F.col(id_col)])))
+    once = docs.join(chosen, docs[id_col] == chosen[chosen.columns[0]], "left_semi").withColumn(place, order).filter(F.col(place) == 1).drop(place)
+    return once.unionByName(docs.filter(F.col(id_col).isNull()))
