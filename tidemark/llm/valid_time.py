@@ -275,8 +275,11 @@ def enrich(sales: DataFrame, changes: DataFrame, batches: int = 10, first_day: i
     names = [c.strip().split(" ")[0] for c in _FED.split(",")]
     whole.select(*names, "batch").hint("rebalance", "batch").write.partitionBy("batch").parquet(f"{folder}/staged")
 
-    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
-    for k, v in _SETTINGS.items():
+    # A state store a partition and restart lies on disk with files of a least size, so there are no more than slots.
+    shuffled = "spark.sql.shuffle.partitions"
+    settings = _SETTINGS | {shuffled: str(min(int(spark.conf.get(shuffled)), slots))}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         for b in range(batches + 1):
