@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -68,3 +69,21 @@ def test_odd_rows(spark, model):
 def test_content_that_is_no_text_stays_within_a_line():
     page = parse("<p>one <script>x()</script>two</p><p>a <svg><path/></svg>b</p><p>c <button>Buy</button> d<select><option>1</select></p><p>e <script>never closed")
     assert page.text == ["one two", "a b", "c d", "e"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 330_000, "<svg>" + "</svg " * 160_000, "<a \"b>\"c" * 110_000 + "'", "<a<" * 330_000, "<!-- " * 200_000, "<svg>" * 200_000, "<a href='>" * 100_001, "<!x" * 330_000, "<p>" * 330_000, "<script>" + "</script x" * 100_000]
+)
+def test_bad_pages_take_linear_time(page):
+    start = time.process_time()
+    parse(page)
+    assert time.process_time() - start < 5
+
+
+def test_where_tags_comments_and_references_end():
+    assert parse("<!-->a<p>b<!--->c<!-- d --!>e").text == ["a", "bce"]
+    assert parse("<p>&l<i>t;b&gt;</i> &am<!-- -->p; &amp;").text == ["&lt;b> &amp; &"]
+    assert parse("<p>x <svg></svg-y></svg >z").text == ["x z"]
+    assert parse("<p>one <a b").text == ["one <a b"]
+    assert parse("<p class=\"a>b\">c <b \"x>d\"e '<p>f").text == ["c d\"e '", "f"]

@@ -1,7 +1,9 @@
 """HTML to leaf blocks: the text between block-level tags, each with the path of elements around it.
 
 One pass over a page, in time linear in its length: unclosed, crossed and stray tags are allowed, and a path is a
-node of a tree shared by all blocks, so deep nesting costs nothing per block.
+node of a tree shared by all blocks, so deep nesting costs nothing per block. What lies ahead is looked for once: the
+next ">", whether an opaque element has an end, and the place of a quote without a partner. A tag that meets such a
+quote, and each that starts before it from then on, ends at its first ">". Without a ">" ahead a "<" is text.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ EMPTY = frozenset("area base col embed hr input link meta param source track".sp
 #: An opening tag of the key ends an open element of the values.
 _ENDS = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 
-_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
-_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*+)>")
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_ATTRIBUTES = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+")
+_COMMENT_END = re.compile("--!?>")
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
 
@@ -60,11 +63,12 @@ def parse(source: str | None) -> Page:
     count: dict[str, int] = {}
     parts: list[tuple[str, bool]] = []
     links, at, end = 0, 0, len(source)
+    gt, loose = -1, 0
     missing: set[str] = set()
 
     def flush() -> None:
         if parts:
-            text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
+            text = " ".join("".join(html.unescape(p) for p, _ in parts).split())  # a reference lies in one piece
             if text:
                 size = sum(len(p) for p, _ in parts)
                 page.text.append(text)
@@ -88,27 +92,36 @@ def parse(source: str | None) -> Page:
         if lt == end:
             break
         if source.startswith("<!--", lt):
-            stop = source.find("-->", lt + 4)
-            at = end if stop < 0 else stop + 3
+            stop = _COMMENT_END.search(source, lt + 2)  # "<!-->" is a whole comment
+            at = stop.end() if stop else end
             continue
+        if gt < lt:
+            gt = source.find(">", lt)
+            if gt < 0:
+                gt = end
         if source[lt + 1 : lt + 2] in ("!", "?"):
-            stop = source.find(">", lt)
-            at = end if stop < 0 else stop + 1
+            at = min(gt + 1, end)
             continue
-        match = _TAG.match(source, lt) or _LOOSE.match(source, lt)  # the second for a quote without its partner
+        match = _NAME.match(source, lt) if gt < end else None
         if match is None:
             parts.append(("<", links > 0))
             at = lt + 1
             continue
-        at = match.end()
-        closing, tag, attributes = match[1], match[2].lower(), match[3]
+        stop = gt
+        if lt >= loose:
+            stop = _ATTRIBUTES.match(source, match.end()).end()
+            if source[stop : stop + 1] != ">":
+                loose, stop = stop, gt
+        closing, tag, attributes = match[1], match[2].lower(), source[match.end() : stop]
+        at = stop + 1
         if tag in OPAQUE and not closing:
             if tag in ENDING:
                 flush()
             if not attributes.endswith("/"):
-                gone = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(source, at) if tag not in missing else None
-                if gone:
-                    at = gone.end()
+                gone = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(source, at) if tag not in missing else None
+                stop = source.find(">", gone.end()) if gone else -1
+                if stop >= 0:
+                    at = stop + 1
                 elif tag in ("script", "style", "textarea", "title", "xmp"):
                     at = end
                 else:
