@@ -1,56 +1,102 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A vector's code has one bit a dimension (whether it lies above zero), cut into segments. Every distinct code is
-listed once a segment under the segment's value, with its k smallest ids and its number of rows: copies cost
+A vector's code has one bit a dimension (whether it lies above zero), held in 64-bit words and cut into segments of
+about log2 of the number of distinct codes, so that a segment's value has few codes at any size. Every distinct code
+is listed once a segment under the segment's value, with its k + 1 smallest ids and its number of rows: copies cost
 nothing. In round r each open query looks up all values at distance r from its own in each segment, and its new
 candidates are verified on whole codes. After round r every code within (r + 1) * segments - 1 has been met, so a
-query is done when its kth distance is no more than that. At r = segment bits everything has been met.
+query is done when its kth distance is no more than that. At r = segment bits everything has been met. Values with
+very many codes are dealt over parts, each met by all the probes of the value.
 
-Neighbours are ordered by distance, then id; the query's own row is not its neighbour. Fewer than k other rows:
-all of them. Null vectors, and those with fewer dimensions than bits, are neither found nor queries.
+Neighbours are ordered by distance, then id; the query itself is not its neighbour. Fewer than k others: all of them.
+A dimension that is null or that a shorter vector lacks counts as not above zero, so a null or empty vector has no bit
+set; NaN lies above zero. Rows that repeat an id and a code count once; an id with several codes is several rows, and several queries, each
+with ranks of its own. Rows without an id are left out. An empty table gives no rows. Of the columns only two are read.
 """
 
 from __future__ import annotations
 
-import itertools
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop
 
+#: A segment's value with more codes than this is dealt over parts of about this size.
+_HOT = 8192
 
-def code(vector: Column, bits: int = 64) -> Column:
-    """The signs of the first `bits` (64 at most) dimensions as a 64-bit integer."""
-    return F.aggregate(F.slice(vector, 1, bits), F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint")))
 
+def _even(n: int, most: int) -> list[int]:
+    """n as the fewest numbers of at most `most`, as equal as can be."""
+    parts = -(-n // most)
+    return [n // parts + (i < n % parts) for i in range(parts)]
 
-def _segment(c: Column, i: int, width: int) -> Column:
-    return F.shiftrightunsigned(c, i * width).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).cast("int")
 
+def code(vector: Column, bits: int) -> Column:
+    """The signs of the first `bits` dimensions as a struct of 64-bit words w0, w1, ..."""
+    words, lo = [], 0
+    for i, n in enumerate(_even(bits, 64)):
+        sign = lambda at: F.when(F.try_element_at(vector, at) > 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+        words.append(F.aggregate(F.sequence(F.lit(lo + 1), F.lit(lo + n)), F.lit(0).cast("bigint"), lambda a, at: F.shiftleft(a, 1).bitwiseOR(sign(at))).alias(f"w{i}"))
+        lo += n
+    return F.struct(*words)
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, segments: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, neighbour_id, distance) of the k nearest rows of every query."""
-    if bits % segments or bits > 64:
-        raise ValueError("bits must be at most 64 and a multiple of segments")
-    width = bits // segments
-    coded = lambda df: df.filter(F.size(vector_col) >= bits).select(F.col(id_col).alias("id"), code(F.col(vector_col), bits).alias("code"))
-    rows = coded(vectors)
+
+def _layout(bits: int, width: int) -> list[tuple[int, int, int]]:
+    """(word, shift, width) of each segment."""
+    out = []
+    for word, n in enumerate(_even(bits, 64)):
+        shift = 0
+        for w in _even(n, width):
+            out.append((word, shift, w))
+            shift += w
+    return out
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int | None = None, width: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, neighbour_id, distance) of the k nearest rows of every query.
+
+    bits: dimensions that count, all if None. width: most bits of a segment, log2 of the number of codes if None.
+    """
+    if bits is None:
+        sizes = [df.agg(F.max(F.size(vector_col))).first()[0] or 0 for df in (vectors, queries)]
+        bits = max(1, *sizes)
+    coded = lambda df: df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), code(F.col(vector_col), bits).alias("code")).distinct()
     # k + 1 ids a code, smallest first; parts are ranked before they meet, so that a code of very many rows is no one task's.
-    part = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
+    part = coded(vectors).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
     for keys in (["code", "part"], ["code"]):
         part = part.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).filter(F.col("_n") <= k + 1).drop("_n")
     codes = cut(part.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    pieces = lambda df: df.select("*", F.posexplode(F.array(*(_segment(F.col("code"), i, width) for i in range(segments)))).alias("seg", "value"))
-    index = cut(pieces(codes.select("code")))
+    if width is None:
+        width = min(32, max(8, round(math.log2(codes.count() + 1))))
+    layout = _layout(bits, width)
+    segments, widest = len(layout), max(w for _, _, w in layout)
+
+    def pieces(df: DataFrame) -> DataFrame:
+        """Each row once a segment, with the segment of its code."""
+        own = [F.struct(F.lit(i).alias("seg"), F.lit(w).alias("width"), F.shiftrightunsigned(F.col(f"code.w{word}"), shift).bitwiseAND(F.lit((1 << w) - 1).cast("bigint")).alias("value")) for i, (word, shift, w) in enumerate(layout)]
+        return df.select("*", F.explode(F.array(*own)).alias("_s")).select(*df.columns, "_s.*")
+
+    index = pieces(codes.select("code")).drop("width")
+    hot = cut(index.groupBy("seg", "value").agg(F.ceil(F.count("*") / _HOT).cast("int").alias("parts")).filter(F.col("parts") > 1))
+    dealt = not hot.isEmpty()
+    parts = F.coalesce("parts", F.lit(1))
+    if dealt:
+        index = index.join(hot, ["seg", "value"], "left").withColumn("part", F.pmod(F.xxhash64("code"), parts).cast("int")).drop("parts")
+    index = cut(index)
     asked = cut(coded(queries))
     open_, best = asked.select(F.col("code").alias("q")).distinct(), None
-    for r in range(width + 1):
-        masks = [sum(1 << b for b in c) for c in itertools.combinations(range(width), r)]
-        flips = F.explode(F.split(F.lit(",".join(map(str, masks))), ",").cast("array<int>"))
-        probes = pieces(open_.withColumn("code", F.col("q"))).select("q", "seg", "value", flips.alias("mask")).select("q", "seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-        met = probes.join(index, ["seg", "value"]).select("q", "code").distinct()
-        met = met.withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))))
+    for r in range(widest + 1):
+        probes = pieces(open_.withColumn("code", F.col("q"))).select("q", "seg", "width", "value", F.lit(0).alias("free"))
+        for _ in range(r):  # one more bit flipped, above those before it
+            flip = F.explode(F.when(F.col("free") < F.col("width"), F.sequence(F.col("free"), F.col("width") - 1))).alias("bit")
+            probes = probes.select("q", "seg", "width", "value", flip).select("q", "seg", "width", F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))).alias("value"), (F.col("bit") + 1).alias("free"))
+        probes = probes.select("q", "seg", "value")
+        if dealt:
+            probes = probes.join(hot, ["seg", "value"], "left").select("q", "seg", "value", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        met = probes.join(index, [c for c in index.columns if c != "code"]).select("q", "code").distinct()
+        met = met.withColumn("distance", sum((F.bit_count(F.col(f"q.w{i}").bitwiseXOR(F.col(f"code.w{i}"))) for i in range(1, layout[-1][0] + 1)), F.bit_count(F.col("q.w0").bitwiseXOR(F.col("code.w0")))))
         met = met.join(codes.select("code", F.least(F.size("ids"), F.lit(k + 1)).alias("n")), "code")
         both = (met if best is None else met.unionByName(best)).dropDuplicates(["q", "code"])
         # A code is of use only while nearer codes hold fewer than k + 1 rows (one may be the query itself).
@@ -64,16 +110,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64,
     pairs = best.join(codes, "code").select("q", "distance", F.explode("ids").alias("neighbour_id"))
     place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "neighbour_id"))
     found = pairs.withColumn("_n", place).filter(F.col("_n") <= k + 1).drop("_n")
-    told = asked.withColumnRenamed("id", "query_id").join(found, F.col("code") == F.col("q")).filter(F.col("query_id") != F.col("neighbour_id"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_id"))
+    told = asked.withColumnRenamed("id", "query_id").join(found, F.col("code") == F.col("q")).filter((F.col("query_id") != F.col("neighbour_id")) | (F.col("distance") > 0))
+    rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy("distance", "neighbour_id"))
     return told.select("query_id", rank.alias("rank"), "neighbour_id", F.col("distance").cast("int").alias("distance")).filter(F.col("rank") <= k)
 
 
 #: DuckDB SQL of the query: brute force.
 ORACLE = """
-    WITH codes AS (SELECT vec_id AS id, [x > 0 FOR x IN embedding[1:64]] AS bits FROM embeddings),
+    WITH size AS (SELECT coalesce(max(len(embedding)), 0) AS n FROM embeddings),
+    codes AS (SELECT DISTINCT vec_id AS id, [coalesce(embedding[i] > 0, false) FOR i IN range(1, n + 1)] AS bits FROM embeddings, size WHERE vec_id IS NOT NULL),
     pairs AS (
-        SELECT a.id AS query_id, b.id AS neighbour_id, CAST(len(list_filter(list_zip(a.bits, b.bits), lambda p: p[1] <> p[2])) AS INTEGER) AS distance
-        FROM codes a JOIN codes b ON a.id <> b.id WHERE a.id % 20 = 0
-    ), ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank, neighbour_id, distance FROM pairs)
+        SELECT a.id AS query_id, a.bits AS q, b.id AS neighbour_id, CAST(len(list_filter(list_zip(a.bits, b.bits), lambda p: p[1] <> p[2])) AS INTEGER) AS distance
+        FROM codes a JOIN codes b ON a.id <> b.id OR a.bits <> b.bits WHERE a.id % 20 = 0
+    ), ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, q ORDER BY distance, neighbour_id) AS INTEGER) AS rank, neighbour_id, distance FROM pairs)
     SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10"""
