@@ -194,12 +194,13 @@ def partial_audit(prior: int, scale: int, most_terms: int):
 
 
 def audit(
-    docs: DataFrame, least_docs: int = 30, most_terms: int = 50, prior: int = 5, scale: int = 1_000_000_000, most_held: int = 1_000_000, text_col: str = "text", lang_col: str = "lang", source_col: str = "source"
+    docs: DataFrame, least_docs: int = 30, most_terms: int = 50, prior: int = 5, scale: int = 1_000_000_000, most_held: int = 1_000_000, terms_a_task: int = 8192, text_col: str = "text", lang_col: str = "lang", source_col: str = "source"
 ) -> DataFrame:
     """Rows (lang, source, part, item, value, p, rank) of each (lang, source) group.
 
     Part `pair`: each other source of the language, by the sum of the differences of shares over all kept terms. Part
-    `term`: the `most_terms` terms whose share in the group is furthest above the language's, p being the latter.
+    `term`: the `most_terms` terms whose share in the group is furthest above the language's, p being the latter. The second scan
+    has a task for about `terms_a_task` kept terms, and no more tasks than there are shuffle partitions.
     """
     base = docs.select(as_text(lang_col).alias("lang"), as_text(source_col).alias("source"), as_text(text_col).alias("text"))
     runs = base.mapInArrow(document_runs(most_held), _RUNS)
@@ -210,7 +211,8 @@ def audit(
     numbers = kept.groupBy("lang").agg(F.count("*").alias("n_terms"))
     groups = base.select("lang", "source").distinct().join(counted, ["lang", "source"], "left").join(numbers, "lang", "left").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
 
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Each task makes its own pairs and leading terms, so their number follows the kept terms.
+    tasks = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, -(-kept.count() // terms_a_task)))
     ahead = groups.select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), "lang", F.lit(None).cast("string").alias("term"), F.array("source").alias("sources"), F.array("total").alias("counts"), "n_terms")
     terms = kept.select(F.pmod(F.xxhash64("lang", "term"), F.lit(tasks)).cast("int").alias("task"), "lang", "term", "sources", "counts", F.lit(0).cast("bigint").alias("n_terms"))
     dealt = ahead.unionByName(terms).repartition("task").sortWithinPartitions("task", "lang", F.asc_nulls_first("term"))
