@@ -1,6 +1,6 @@
 """Audit of how far the sources of a language differ in their terms, by sorting and scanning runs.
 
-1. Each task turns its documents into partial runs (lang, term, source, documents, count) and hands them over sorted,
+1. Each task turns its documents into partial runs (lang, term, source, documents, count)
    before anything is shuffled; a document lies in one task, so its runs need no key of their own.
 2. Partial runs are dealt by (lang, term) and sorted by (lang, term, source). One scan adds up neighbours: the run of
    a term gives its documents and its counts by source, and only terms in enough documents go on. Memory: one term.
@@ -42,25 +42,26 @@ def document_runs(most: int):
     """Partial runs of (lang, source, text) rows. At most about `most` runs are held before they go out."""
 
     def emit(held: dict) -> Iterator[pa.RecordBatch]:
-        rows = sorted((lang, term, source, d, n) for (lang, source), terms in held.items() for term, (d, n) in terms.items())
-        for at in range(0, len(rows), 65536):
-            lang, term, source, docs, count = zip(*rows[at : at + 65536])
-            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(term, pa.binary()).cast(pa.string()), pa.array(source), pa.array(docs, pa.int64()), pa.array(count, pa.int64())], names=["lang", "term", "source", "docs", "count"])
+        for (lang, source), (docs, counts) in held.items():
+            terms = list(counts)
+            for at in range(0, len(terms), 65536):
+                part = terms[at : at + 65536]
+                n = len(part)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(lang, n), pa.array(part, pa.binary()).cast(pa.string()), pa.repeat(source, n), pa.array([docs[t] for t in part], pa.int64()), pa.array([counts[t] for t in part], pa.int64())],
+                    names=["lang", "term", "source", "docs", "count"],
+                )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                terms = held.setdefault((lang, source), {})
-                before = len(terms)
-                for term, n in Counter(_TERM.findall(text.as_buffer().to_pybytes().lower())).items():
-                    was = terms.get(term)
-                    if was is None:
-                        terms[term] = [1, n]
-                    else:
-                        was[0] += 1
-                        was[1] += n
-                size += len(terms) - before
+                docs, counts = held.setdefault((lang, source), (Counter(), Counter()))
+                before = len(counts)
+                found = _TERM.findall(text.as_buffer().to_pybytes().lower())
+                counts.update(found)
+                docs.update(set(found))
+                size += len(counts) - before
                 if size > most:
                     yield from emit(held)
                     held, size = {}, 0
