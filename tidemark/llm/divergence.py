@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,31 +71,52 @@ def document_runs(most: int):
     return run
 
 
-def kept_terms(least_docs: int):
-    """Of runs sorted by language, term and source: each term of enough documents, with its counts by source."""
+def _starts(*columns: pa.Array) -> np.ndarray:
+    """Where rows differ from the row before, the first row included."""
+    n = len(columns[0])
+    differ = np.zeros(n, bool)
+    differ[:1] = True
+    for c in columns:
+        differ[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(differ)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, sources, counts, out = None, 0, [], [], []
 
-        def flush(most: int) -> Iterator[pa.RecordBatch]:
-            if key is not None and docs >= least_docs:
-                out.append((*key, sources, counts))
-            if out and len(out) > most:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())))], names=["lang", "term", "sources", "counts"])
-                out.clear()
+def kept_terms(least_docs: int):
+    """Of runs sorted by language, term and source: each term of enough documents, with its counts by source.
 
+    A batch is summed as whole columns. Of its last term the sums by source wait for the next batch.
+    """
+    kinds = [pa.string()] * 3 + [pa.int64()] * 2
+    names = ["lang", "term", "source", "docs", "count"]
+
+    def settled(rows: pa.RecordBatch, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The kept terms of summed rows; first: where each term starts."""
+        size = np.diff(np.append(first, rows.num_rows))
+        stays = np.add.reduceat(rows.column(3).to_numpy(), first) >= least_docs
+        if stays.any():
+            inner = rows.filter(pa.array(np.repeat(stays, size)))
+            heads = rows.take(pa.array(first[stays]))
+            ends = pa.array(np.append(0, np.cumsum(size[stays])), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, inner.column(i)) for i in (2, 4)]
+            yield pa.RecordBatch.from_arrays([heads.column(0), heads.column(1), *lists], names=["lang", "term", "sources", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            for lang, term, source, d, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if (lang, term) != key:
-                    yield from flush(8192)
-                    key, docs, sources, counts = (lang, term), 0, [], []
-                docs += d
-                if sources and sources[-1] == source:
-                    counts[-1] += n
-                else:
-                    sources.append(source)
-                    counts.append(n)
-        yield from flush(0)
+            if not batch.num_rows:
+                continue
+            columns = [c.cast(k) for c, k in zip(batch.columns, kinds)]
+            if held is not None:
+                columns = [pa.concat_arrays(pair) for pair in zip(held.columns, columns)]
+            first = _starts(*columns[:3])
+            sums = [pa.array(np.add.reduceat(c.to_numpy(), first)) for c in columns[3:]]
+            rows = pa.RecordBatch.from_arrays([c.take(pa.array(first)) for c in columns[:3]] + sums, names=names)
+            terms = _starts(rows.column(0), rows.column(1))
+            if len(terms) > 1:
+                yield from settled(rows.slice(0, terms[-1]), terms[:-1])
+            held = rows.slice(terms[-1])
+        if held is not None:
+            yield from settled(held, np.zeros(1, np.int64))
 
     return run
 
