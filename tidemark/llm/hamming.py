@@ -2,11 +2,12 @@
 
 A vector's code has one bit a dimension (whether it lies above zero), held in 64-bit words and cut into segments of
 about log2 of the number of distinct codes, so that a segment's value has few codes at any size. Every distinct code
-is listed once a segment under the segment's value, with its k + 1 smallest ids and its number of rows: copies cost
-nothing. In round r each open query looks up all values at distance r from its own in each segment, and its new
-candidates are verified on whole codes. After round r every code within (r + 1) * segments - 1 has been met, so a
-query is done when its kth distance is no more than that. At r = segment bits everything has been met. Values with
-very many codes are dealt over parts, each met by all the probes of the value.
+is listed once a segment, with its k + 1 smallest ids and its number of rows: copies cost nothing. A segment's values
+lie in blocks by their bits above the lowest `_LOW`. In round r each open query goes to the blocks that can hold a value at
+distance r from its own; there, inside a task, it looks up all such values, its candidates are verified on whole
+codes, and the block's k + 1 nearest leave it, none farther than the k + 1 nearest of earlier rounds. After round r every code within (r + 1) * segments - 1 has been met, so
+a query is done when its kth distance is no more than that. At r = segment bits everything has been met. Blocks
+with very many codes or queries are dealt over parts of both, and each part of the one meets each of the other.
 
 Neighbours are ordered by distance, then id; the query itself is not its neighbour. Fewer than k others: all of them.
 A dimension that is null or that a shorter vector lacks counts as not above zero, so a null or empty vector has no bit
@@ -16,15 +17,22 @@ with ranks of its own. Rows without an id are left out. An empty table gives no
 
 from __future__ import annotations
 
+import itertools
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop
 
-#: A segment's value with more codes than this is dealt over parts of about this size.
-_HOT = 8192
+#: A block with more codes, or with more queries in a round, than this is dealt over parts of about this size.
+_HOT = 16384
+#: Bits of a segment's value that a block spans: so many that a query goes to few blocks, so few that a block is small.
+_LOW = 13
+#: Lookups, and candidates at most, that a task holds at once.
+_CHUNK = 1 << 20
 
 
 def _even(n: int, most: int) -> list[int]:
@@ -54,6 +62,55 @@ def _layout(bits: int, width: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _flips(width: int, distance: int) -> np.ndarray:
+    """All masks of so many bits of the width."""
+    places = itertools.combinations(range(width), distance)
+    return np.array([sum(1 << i for i in at) for at in places], np.int64)
+
+
+def _first(owner: np.ndarray, distance: np.ndarray, turn: np.ndarray, n: int) -> np.ndarray:
+    """Places of each owner's first n rows by distance, then turn."""
+    order = np.lexsort((turn, distance, owner))
+    sizes = np.bincount(owner[order])
+    return order[np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < n]
+
+
+def _looked_up(k: int, words: int, round_: int):
+    """The k + 1 nearest codes of a block for each query, of those whose value lies at distance `round_` from the query's."""
+
+    def run(key, asks: pa.Table, block: pa.Table) -> pa.Table:
+        found = []
+        if len(asks) and len(block):
+            block = block.take(pa.array(np.argsort(block["low"].to_numpy(), kind="stable")))
+            low, turn = block["low"].to_numpy(), np.unique(block["first"].to_numpy(), return_inverse=True)[1]
+            codes = np.stack([block[f"c{i}"].to_numpy() for i in range(words)]).view(np.uint64)  # of signed numbers numpy counts the bits of the absolute value
+            queries = np.stack([asks[f"q{i}"].to_numpy() for i in range(words)]).view(np.uint64)
+            values, far, bound = (asks[c].to_numpy() for c in ("low", "far", "bound"))
+            width = asks["width"][0].as_py()
+            starts = np.searchsorted(low, np.arange((1 << width) + 1))
+            for d in np.unique(far):
+                masks, mine = _flips(width, round_ - int(d)), np.flatnonzero(far == d)
+                step = max(1, _CHUNK // max(len(masks), len(low)))
+                for lo in range(0, len(mine), step):
+                    own = mine[lo : lo + step]
+                    probes = (values[own][:, None] ^ masks[None, :]).ravel()
+                    n = starts[probes + 1] - starts[probes]
+                    hit = np.flatnonzero(n)
+                    probes, n = probes[hit], n[hit]
+                    at = np.repeat(starts[probes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    owner = np.repeat(hit // len(masks), n)
+                    distance = sum(np.bitwise_count(queries[i, own][owner] ^ codes[i, at]).astype(np.int32) for i in range(words))
+                    near = np.flatnonzero(distance <= bound[own][owner])
+                    owner, at, distance = owner[near], at[near], distance[near]
+                    best = _first(owner, distance, turn[at], k + 1)
+                    found.append((own[owner[best]], at[best], distance[best]))
+        q, c, distance = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+        columns = {f"q{i}": asks[f"q{i}"].take(pa.array(q)) for i in range(words)} | {f"c{i}": block[f"c{i}"].take(pa.array(c)) for i in range(words)}
+        return pa.table(columns | {"distance": pa.array(distance.astype(np.int32)), "first": block["first"].take(pa.array(c)), "n": block["n"].take(pa.array(c))})
+
+    return run
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int | None = None, width: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, neighbour_id, distance) of the k nearest rows of every query.
 
@@ -73,41 +130,61 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int | None
     layout = _layout(bits, width)
     segments, widest = len(layout), max(w for _, _, w in layout)
 
+    low = [min(w, _LOW) for _, _, w in layout]
+    words = layout[-1][0] + 1
+    flat = lambda struct, name: [F.col(f"{struct}.w{i}").alias(f"{name}{i}") for i in range(words)]
+    again = lambda name: F.struct(*(F.col(f"{name}{i}").alias(f"w{i}") for i in range(words)))
+
     def pieces(df: DataFrame) -> DataFrame:
-        """Each row once a segment, with the segment of its code."""
-        own = [F.struct(F.lit(i).alias("seg"), F.lit(w).alias("width"), F.shiftrightunsigned(F.col(f"code.w{word}"), shift).bitwiseAND(F.lit((1 << w) - 1).cast("bigint")).alias("value")) for i, (word, shift, w) in enumerate(layout)]
+        """Each row once a segment, with the block and the place in it of its code's value."""
+        own = []
+        for i, (word, shift, w) in enumerate(layout):
+            value = F.shiftrightunsigned(F.col(f"code.w{word}"), shift).bitwiseAND(F.lit((1 << w) - 1).cast("bigint"))
+            own.append(F.struct(F.lit(i).alias("seg"), F.lit(low[i]).alias("width"), F.lit(w - low[i]).alias("above"), F.shiftrightunsigned(value, low[i]).alias("block"), value.bitwiseAND(F.lit((1 << low[i]) - 1).cast("bigint")).alias("low")))
         return df.select("*", F.explode(F.array(*own)).alias("_s")).select(*df.columns, "_s.*")
 
-    index = pieces(codes.select("code")).drop("width")
-    hot = cut(index.groupBy("seg", "value").agg(F.ceil(F.count("*") / _HOT).cast("int").alias("parts")).filter(F.col("parts") > 1))
-    dealt = not hot.isEmpty()
-    parts = F.coalesce("parts", F.lit(1))
-    if dealt:
-        index = index.join(hot, ["seg", "value"], "left").withColumn("part", F.pmod(F.xxhash64("code"), parts).cast("int")).drop("parts")
-    index = cut(index)
+    def many(df: DataFrame, name: str) -> DataFrame:
+        """The blocks that the rows need several parts for."""
+        return cut(df.groupBy("seg", "block").agg(F.ceil(F.count("*") / _HOT).cast("int").alias(name)).filter(F.col(name) > 1))
+
+    def dealt(df: DataFrame, by: Column, own: str, parts: DataFrame, other: str, others: DataFrame) -> DataFrame:
+        """The rows with a part of their own kind, once for each part of the other kind."""
+        n = lambda c: F.coalesce(c, F.lit(1))
+        placed = df.join(parts, ["seg", "block"], "left").withColumn(own, F.pmod(F.xxhash64(by), n(own)).cast("int"))
+        return placed.join(others, ["seg", "block"], "left").withColumn(other, F.explode(F.sequence(F.lit(0), n(F.col(other)) - 1)))
+
+    keys = ["seg", "block", "c_part", "q_part"]
+    index = cut(pieces(codes.select("code", F.element_at("ids", 1).alias("first"), F.least(F.size("ids"), F.lit(k + 1)).alias("n"))).drop("width", "above"))
+    full = many(index, "c_part")
+    kind = dict(codes.select(F.element_at("ids", 1).alias("first")).dtypes)["first"]
+    told = ", ".join([*(f"{x}{i} bigint" for x in "qc" for i in range(words)), "distance int", f"first {kind}", "n int"])
+    above = sorted({w - n for (_, _, w), n in zip(layout, low)})
     asked = cut(coded(queries))
-    open_, best = asked.select(F.col("code").alias("q")).distinct(), None
+    open_, best = asked.select(F.col("code").alias("q"), F.lit(bits).alias("bound")).distinct(), None
     for r in range(widest + 1):
-        probes = pieces(open_.withColumn("code", F.col("q"))).select("q", "seg", "width", "value", F.lit(0).alias("free"))
-        for _ in range(r):  # one more bit flipped, above those before it
-            flip = F.explode(F.when(F.col("free") < F.col("width"), F.sequence(F.col("free"), F.col("width") - 1))).alias("bit")
-            probes = probes.select("q", "seg", "width", "value", flip).select("q", "seg", "width", F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))).alias("value"), (F.col("bit") + 1).alias("free"))
-        probes = probes.select("q", "seg", "value")
-        if dealt:
-            probes = probes.join(hot, ["seg", "value"], "left").select("q", "seg", "value", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-        met = probes.join(index, [c for c in index.columns if c != "code"]).select("q", "code").distinct()
-        met = met.withColumn("distance", sum((F.bit_count(F.col(f"q.w{i}").bitwiseXOR(F.col(f"code.w{i}"))) for i in range(1, layout[-1][0] + 1)), F.bit_count(F.col("q.w0").bitwiseXOR(F.col("code.w0")))))
-        met = met.join(codes.select("code", F.least(F.size("ids"), F.lit(k + 1)).alias("n")), "code")
+        # Every way to change the bits above: those of a block at distance `far` leave r - far for the bits within it.
+        masks = None
+        for n in above:
+            some = vectors.sparkSession.range(1 << n).select(F.lit(n).alias("above"), F.col("id").alias("mask"), F.bit_count("id").alias("far")).filter(F.col("far") <= r)
+            masks = some if masks is None else masks.unionByName(some)
+        sent = pieces(open_.withColumn("code", F.col("q"))).join(F.broadcast(masks), "above").filter(r - F.col("far") <= F.col("width"))
+        sent = cut(sent.select("q", "bound", "seg", "width", F.col("block").bitwiseXOR(F.col("mask")).alias("block"), "low", "far"))
+        crowded = many(sent, "q_part")
+        asks = dealt(sent, F.col("q"), "q_part", crowded, "c_part", full).select(*keys, *flat("q", "q"), "bound", "width", "low", "far")
+        held = dealt(index, F.col("code"), "c_part", full, "q_part", crowded).select(*keys, *flat("code", "c"), "low", "first", "n")
+        met = asks.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(_looked_up(k, words, r), told)
+        met = met.select(again("q").alias("q"), again("c").alias("code"), "distance", "first", "n")
         both = (met if best is None else met.unionByName(best)).dropDuplicates(["q", "code"])
-        # A code is of use only while nearer codes hold fewer than k + 1 rows (one may be the query itself).
-        before = F.sum("n").over(Window.partitionBy("q").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1))
-        spent, best = best, cut(both.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") <= k).drop("_before"))
-        near = best.filter(F.col("distance") <= (r + 1) * segments - 1).groupBy("q").agg(F.sum("n").alias("n")).filter(F.col("n") > k)
-        drop(spent)
-        open_ = cut(open_.join(near, "q", "left_anti"))
+        # Of the codes in order of distance and first id, no more than k + 1 hold the k + 1 nearest rows (one may be the query itself).
+        place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "first"))
+        spent, best = best, cut(both.withColumn("_n", place).filter(F.col("_n") <= k + 1).drop("_n"))
+        within = F.sum(F.when(F.col("distance") <= (r + 1) * segments - 1, F.col("n")).otherwise(0))
+        so_far = best.groupBy("q").agg(within.alias("within"), F.when(F.count("*") > k, F.max("distance")).otherwise(bits).alias("bound"))
+        drop(spent, sent, crowded)
+        open_ = cut(open_.select("q").join(so_far, "q", "left").filter(F.coalesce("within", F.lit(0)) <= k).select("q", F.coalesce("bound", F.lit(bits)).alias("bound")))
         if open_.isEmpty():
             break
-    pairs = best.join(codes, "code").select("q", "distance", F.explode("ids").alias("neighbour_id"))
+    pairs = best.select("q", "code", "distance").join(codes, "code").select("q", "distance", F.explode("ids").alias("neighbour_id"))
     place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "neighbour_id"))
     found = pairs.withColumn("_n", place).filter(F.col("_n") <= k + 1).drop("_n")
     told = asked.withColumnRenamed("id", "query_id").join(found, F.col("code") == F.col("q")).filter((F.col("query_id") != F.col("neighbour_id")) | (F.col("distance") > 0))
