@@ -263,7 +263,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     result = near_duplicates(docs, id_col=id_col, text_col=text_col, **parameters)
     chosen = result.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias(fresh("_kept_id", docs.columns))).distinct()
-    plain = [F.col(c) for c, kind in docs.dtypes if c not in (id_col, text_col) and "map<" not in kind and "variant" not in kind]
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in (id_col, text_col) and "map<" not in kind and "variant" not in kind]
     place = fresh("_place", docs.columns)
     order = F.row_number().over(Window.partitionBy(id_col, text_col).orderBy(*(plain or [F.col(id_col)])))
     once = docs.join(chosen, docs[id_col] == chosen[chosen.columns[0]], "left_semi").withColumn(place, order).filter(F.col(place) == 1).drop(place)
